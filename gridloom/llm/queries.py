@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.ngram_join import ngram_join
+from gridloom.llm.quality_rules import quality_rules
 from gridloom.llm.substring_dedup import substring_dedup
 
 
@@ -18,12 +19,20 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ngram_join": op2_ngram_join, "op7_substring_dedup": op7_substring_dedup}
+    return {
+        "op2_ngram_join": op2_ngram_join,
+        "op5_quality_rules": op5_quality_rules,
+        "op7_substring_dedup": op7_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
