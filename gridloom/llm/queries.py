@@ -10,6 +10,7 @@ from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.quality_mil import quality_classifier
 from gridloom.llm.quality_rules import quality_rules
 from gridloom.llm.substring_dedup import substring_dedup
+from gridloom.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +33,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_ngram_join": op2_ngram_join,
         "op5_quality_rules": op5_quality_rules,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_toxicity": op9_toxicity,
     }
 
 
