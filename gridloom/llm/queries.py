@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.decontaminate import leaks
 from gridloom.llm.html_extract import html_extract
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.quality_mil import quality_classifier
@@ -47,6 +48,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extract": op6_html_extract,
         "op7_substring_dedup": op7_substring_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_benchmark_leaks": op10_benchmark_leaks,
     }
 
 
