@@ -4,13 +4,13 @@
    then by block of the table). The counts order the n-grams, rare first; ties go by hash. Any one order keeps the join
    exact, so the table's fixed size costs candidates only, never results.
 2. A second pass gives each document its set size, a 128-bit digest of its set, the prefix of its set in that order
-   (n - ceil(t n) + 1 n-grams: two sets of similarity t share one of them) and a 16-part histogram of the set.
+   (n - ceil(t n) + 1 n-grams: two sets of similarity t share one of them) and a 32-part histogram of the set.
    Documents with equal sets collapse to the smallest doc_id before anything is joined.
 3. Documents that share a prefix n-gram are candidates. Large groups of near copies make no square of pairs: under each
-   prefix n-gram and length band, all documents are first compared with two leaders (chosen by two hash orders), which
-   connects near copies. Then only n-grams that still hold several components give pairs, and only of different
+   prefix n-gram and length band, all documents are first compared with two leaders (the one with the fewest rarer
+   n-grams before it, which is close to what the copies have in common, and one by hash), which connects near copies. Then only n-grams that still hold several components give pairs, and only of different
    components; those are complete, so no link between components is missed.
-4. Length filter, positional filter (n-grams before and after the shared one) and suffix filter (histograms bound the
+4. Length filter, positional filter (what can follow the first shared n-gram) and suffix filter (histograms bound the
    Hamming distance of the sets) drop pairs; what is left is verified once per pair on the whole sets.
 
 Words are runs of bytes other than space and tab to carriage return, A-Z lower-cased. Null and empty texts have an empty
@@ -27,15 +27,15 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
 from gridloom.llm.textops import shingle_set, words
-from gridloom.llm.util import materialize, ship_package
+from gridloom.llm.util import materialize, ship_package, small
 
 _BLOCK = 1 << 16
-_HIST_BITS = 4
+_HIST_BITS = 5
 
 
 def _lower(text: str | None) -> list[bytes]:
@@ -128,8 +128,12 @@ def _needed(percent: int) -> str:
 
 
 def _filtered(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) once each, after the length, positional and suffix filters; pairs holds a, b, na, nb, pa, pb."""
-    near = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1) >= {_needed(percent)}")
+    """(a, b) once each, after the length, positional and suffix filters; pairs holds a, b, na, nb, pa, pb.
+
+    A pair may come with several shared n-grams; the positional filter takes each for the first shared one, before which
+    the sets have nothing in common. For the pair's true first one that is so, hence no linked pair is lost.
+    """
+    near = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - pa, nb - pb) >= {_needed(percent)}")
     once = near.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     with_a = once.join(hists.select(F.col("rep").alias("a"), F.col("hist").alias("ha")), "a")
     with_b = with_a.join(hists.select(F.col("rep").alias("b"), F.col("hist").alias("hb")), "b")
@@ -140,8 +144,8 @@ def _filtered(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
 def _checked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b, linked) for each pair, from the whole texts."""
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    blobs = materialize(docs.join(ids, "doc_id", "left_semi").mapInPandas(_blobs, "id long, blob binary"), "blobs")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    blobs = materialize(docs.join(small(ids, ids.count(), 16), "doc_id", "left_semi").mapInPandas(_blobs, "id long, blob binary"), "blobs")
     sides = pairs.join(blobs.select(F.col("id").alias("a"), F.col("blob").alias("blob_a")), "a").join(blobs.select(F.col("id").alias("b"), F.col("blob").alias("blob_b")), "b")
     return materialize(sides.select("a", "b", "blob_a", "blob_b").mapInPandas(_verify(n, percent), "a long, b long, linked boolean"), "checked")
 
@@ -162,15 +166,15 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) if percent < 100 else F.col("n")).cast("int")
     postings = materialize(postings.join(shared, "gram", "left_semi").withColumn("band", band), "postings")
 
-    def lead(seed: int) -> DataFrame:
-        first = F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos")))
+    def lead(order: Column) -> DataFrame:
+        first = F.min(F.struct(order.alias("order"), F.xxhash64("rep").alias("h"), F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos")))
         return postings.groupBy("gram", "band").agg(first.alias("l")).select("gram", "band", "l.lead", "l.lead_n", "l.lead_pos")
 
     def ordered(df: DataFrame) -> DataFrame:
         up = "rep < lead"
         return df.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), *(F.expr(f"if({up}, {x}, {y})").alias(z) for x, y, z in (("n", "lead_n", "na"), ("lead_n", "n", "nb"), ("pos", "lead_pos", "pa"), ("lead_pos", "pos", "pb"))))
 
-    leads = materialize(lead(1).unionByName(lead(2)), "leads")
+    leads = materialize(lead(F.col("pos")).unionByName(lead(F.lit(0))).distinct(), "leads")
     below = leads.select("gram", (F.col("band") + 1).alias("band"), F.col("lead").alias("rep"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"))
     stars = ordered(postings.join(leads, ["gram", "band"])).unionByName(ordered(below.join(leads, ["gram", "band"])))
     checked = _checked(_filtered(stars, hists, percent), docs, n, percent)
