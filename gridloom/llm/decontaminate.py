@@ -99,28 +99,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
         held = held.union(more)
     held = materialize(held.distinct(), "held")
     ids = held.select("doc_id").distinct()
-    few = texts.join(small(ids, held.count(), 16), "doc_id").distinct()
-    few = materialize(few, "few")
+    few = materialize(texts.join(small(ids, held.count(), 16), "doc_id").distinct(), "few")
 
     windows = []
     for length in lengths:
         own = held.join(entries.where(F.col("length") == length), "item_id").select("doc_id", "item_id", "size", "off", "hash")
-        shingles = few.select("doc_id", F.size("words").alias("n"), F.posexplode(F.expr(_hashes("words", length))).alias("pos", "hash"))
-        about = own.join(shingles, ["doc_id", "hash"]).withColumn("slack", F.ceil(F.col("size") / 5).cast("int"))
-        starts = about.select("doc_id", "size", F.explode(F.expr("sequence(pos - off - slack, pos - off + slack)")).alias("start"), "n").where("start >= 0 and start + size <= n").select("doc_id", "size", "start").distinct()
+        # a window's shingles are a slice of its document's
+        hashed = materialize(few.select("doc_id", F.size("words").alias("n"), F.expr(_hashes("words", length)).alias("hashes")), "hashed")
+        shingles = hashed.select("doc_id", "n", F.posexplode("hashes").alias("pos", "hash"))
+        about = own.join(shingles, ["doc_id", "hash"]).select("doc_id", "size", "n", (F.col("pos") - F.col("off")).alias("at")).distinct()
+        slack = "cast(ceil(size / 5) as int)"
+        starts = about.select("doc_id", "size", "n", F.explode(F.expr(f"sequence(at - {slack}, at + {slack})")).alias("start")).where("start >= 0 and start + size <= n").select("doc_id", "size", "start").distinct()
         # a document that is shorter than the item has one window, itself
         whole = about.where("n < size").select("doc_id", "size", F.lit(0).alias("start")).distinct()
-        cut = few.join(starts.union(whole), "doc_id").select("doc_id", "size", "start", F.expr("slice(words, start + 1, size)").alias("piece"))
-        windows.append(cut.select("doc_id", "size", "start", F.expr(_hashes("piece", length)).alias("window")))
+        windows.append(starts.union(whole).join(hashed.select("doc_id", "hashes"), "doc_id").select("doc_id", "size", "start", F.expr(f"slice(hashes, start + 1, size - {length - 1})").alias("window")))
     every = windows[0]
     for more in windows[1:]:
         every = every.union(more)
-    # written down so that no later filter or join evaluates a fingerprint again
-    printed = materialize(every.where("size(window) > 0").withColumn("print", F.expr(_simhash("window"))), "printed")
-    index = multi_index(materialize(formed.withColumn("item_print", F.expr(_simhash("hashes"))), "prints"), "item_print", exact=False).select("item_id", "size", "hashes", "item_print", "part")
-    near = multi_index(printed, "print", exact=True).join(index, ["size", "part"]).where(f"bit_count(print ^ item_print) <= {RADIUS}")
-    once = near.select("doc_id", "start", "item_id", "window", "hashes").dropDuplicates(["doc_id", "start", "item_id"])
-    both = once.select("doc_id", "item_id", "start", F.expr("size(window) + size(hashes)").alias("sizes"), F.expr(_shared("window", "hashes")).alias("both"))
+    # both are written down so that no later expression evaluates a window or a fingerprint again
+    cut = materialize(every.where("size(window) > 0"), "cut")
+    printed = materialize(cut.select("doc_id", "size", "start", F.expr(_simhash("window")).alias("print")), "printed")
+    prints = materialize(formed.withColumn("item_print", F.expr(_simhash("hashes"))), "prints")
+    index = multi_index(prints.select("item_id", "size", "item_print"), "item_print", exact=False)
+    entered = multi_index(printed, "print", exact=True)
+    near = entered.join(index, ["size", "part"]).where(f"bit_count(print ^ item_print) <= {RADIUS}")
+    once = near.select("doc_id", "size", "start", "item_id").distinct()
+    whole = once.join(cut, ["doc_id", "size", "start"]).join(prints.select("item_id", "hashes"), "item_id")
+    both = whole.select("doc_id", "item_id", "start", F.expr("size(window) + size(hashes)").alias("sizes"), F.expr(_shared("window", "hashes")).alias("both"))
     alike = materialize(both, "verified").withColumn("similarity", F.expr("both / (sizes - both)")).where(F.col("similarity") >= least)
     return alike.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")).select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("start"))
 
