@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.decontaminate import leaks
 from gridloom.llm.html_extract import html_extract
+from gridloom.llm.line_dedup import line_report
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.quality_mil import quality_classifier
 from gridloom.llm.quality_rules import quality_rules
@@ -32,6 +33,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_ngram_join": op2_ngram_join,
         "op3_url_filter": op3_url_filter,
+        "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_html_extract": op6_html_extract,
         "op7_substring_dedup": op7_substring_dedup,
