@@ -132,5 +132,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The documents that hold no item, unchanged; rows without doc_id stay."""
-    dirty = leaks(docs, benchmark, least).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    dirty = materialize(leaks(docs, benchmark, least).select("doc_id").distinct(), "dirty")
+    return docs.join(small(dirty, dirty.count(), 16), "doc_id", "left_anti").select(docs.columns)

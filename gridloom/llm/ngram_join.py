@@ -194,3 +194,9 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
 
     named = reps.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "rep", F.coalesce("component", "rep").alias("component"))
     return sets.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """The documents, of each component only the one with the smallest doc_id; rows without doc_id stay."""
+    gone = materialize(ngram_join(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(small(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)

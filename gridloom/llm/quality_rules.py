@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textops import window_hashes, word_hashes
-from gridloom.llm.util import materialize, ship_package
+from gridloom.llm.util import materialize, ship_package, small
 
 #: Features that the rules may test, as ratios of the statistics.
 FEATURES = {
@@ -172,3 +172,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     ruled = stats.withColumn("base_failed", failed).withColumn("rule", as_expression(rules))
     return ruled.select("doc_id", *_COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> DataFrame:
+    """The documents that quality_rules keeps, unchanged; rows without doc_id can't be judged and stay."""
+    gone = materialize(quality_rules(docs, labels, per_class).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    return docs.join(small(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)

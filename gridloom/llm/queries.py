@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.decontaminate import leaks
 from gridloom.llm.html_extract import html_extract
 from gridloom.llm.line_dedup import line_report
+from gridloom.llm.mixing import WEIGHTS, label_domains, mixing_rates
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.quality_mil import quality_classifier
 from gridloom.llm.quality_rules import quality_rules
@@ -49,6 +50,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op8_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_rates(docs, label_domains(docs, table(spark, sf_dir, "labels")), WEIGHTS)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +63,12 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -66,8 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_html_extract": op6_html_extract,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_mixing_rates": op8_mixing_rates,
         "op9_toxicity": op9_toxicity,
         "op10_benchmark_leaks": op10_benchmark_leaks,
+        "pipeline": pipeline,
     }
 
 
