@@ -33,9 +33,9 @@ def entropy(df: DataFrame, value: str, by: Sequence[str] = (), item_bytes: int =
     return total.select(*by, F.col("n"), F.col("symbols"), fits.alias("entropy"))
 
 
-def block_entropy(df: DataFrame, value: str, position: str, block: int = 16384, by: Sequence[str] = ()) -> DataFrame:
+def block_entropy(df: DataFrame, value: str, position: str, block: int = 16384, by: Sequence[str] = (), item_bytes: int = 1) -> DataFrame:
     """Entropy of each block of consecutive positions."""
-    return entropy(df.withColumn("block", F.expr(f"{position} div {block}")), value, [*by, "block"])
+    return entropy(df.withColumn("block", F.expr(f"{position} div {block}")), value, [*by, "block"], item_bytes)
 
 
 def runs(df: DataFrame, value: str, order: str, by: Sequence[str] = ()) -> DataFrame:
