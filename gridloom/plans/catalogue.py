@@ -91,7 +91,7 @@ def bounds_filter(spark: SparkSession, sf: str) -> DataFrame:
 def _norm(norm: str, whole: bool) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        df = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 256).alias("x"), (F.col("l_suppkey") % 256).alias("y"))
+        df = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 256).alias("x"), (F.col("l_suppkey") % 256).alias("y"))
         pair = df.select("l_orderkey", "l_linenumber", "x", "y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py")).where("px is not null")
         dist = geometry.distance([F.col("x"), F.col("y")], [F.col("px"), F.col("py")], norm, whole)
         return pair.select("l_orderkey", "l_linenumber", (F.round(dist, 6) if norm == "l2" and not whole else dist).alias("dist"))
