@@ -35,7 +35,7 @@ PARTS = (13, 13, 13, 13, 12)
 
 def with_words(df: DataFrame, key: str) -> DataFrame:
     """key and words (lower-cased) of rows with a text; a text without words has one empty word."""
-    clean = "trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM lower(text))"
+    clean = "trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM lower(text))"
     return df.where(f"{key} is not null and text is not null").select(F.col(key).cast("long").alias(key), F.expr(f"split({clean}, '[ \\\\t-\\\\r]+')").alias("words"))
 
 

@@ -49,7 +49,7 @@ SPAN = 8
 
 def _counted(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_words, and the cell of each feature."""
-    words = "if(text is null, 0, size(split(trim(BOTH ' \\t\\n\\r\\u000B\\f' FROM text), '[ \\\\t-\\\\r]+')) - if(trim(BOTH ' \\t\\n\\r\\u000B\\f' FROM text) = '', 1, 0))"
+    words = "if(text is null, 0, size(split(trim(BOTH ' \\t\\n\\r\\u000B\\u000C' FROM text), '[ \\\\t-\\\\r]+')) - if(trim(BOTH ' \\t\\n\\r\\u000B\\u000C' FROM text) = '', 1, 0))"
     base = docs.withColumn("n_words", F.expr(words).cast("long"))
     cells = [F.expr(f"coalesce(cast(least({SPAN}, greatest(-{SPAN}, round(log2(greatest(({e}), 1e-9D))))) as int), -{SPAN})").alias(f) for f, e in FEATURES.items()]
     return base.select("doc_id", "n_words", *cells)

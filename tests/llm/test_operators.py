@@ -1,0 +1,303 @@
+"""Each operator against brute force on small fixtures, with nulls, empty and long texts, repeats and odd columns."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontaminate, graph, html_extract, line_dedup, mixing, ngram_join, quality_mil, quality_rules, substring_dedup, toxicity, url_filter
+from gridloom.llm.textops import words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, removed string, rate string, hi string"
+_RND = random.Random(5)
+_VOCAB = ["".join(_RND.choice("abdefilmnorstu") for _ in range(_RND.randint(2, 7))) for _ in range(400)]
+
+
+def _prose(n, rnd):
+    return " ".join(rnd.choice(_VOCAB) for _ in range(n))
+
+
+def _texts():
+    """Documents by id: copies, near copies, shared passages, junk, empty, null, long, odd white space."""
+    rnd = random.Random(1)
+    base, passage, line = _prose(120, rnd), _prose(60, rnd), _prose(14, rnd)
+    out = {i: _prose(rnd.randint(20, 90), rnd) for i in range(10)}
+    out |= {10: base, 11: base, 12: base.upper(), 13: " ".join([*base.split()[:-1], "other"]), 14: _prose(30, rnd) + " " + passage + " " + _prose(30, rnd), 15: passage + "\n" + _prose(20, rnd)}
+    out |= {16: line + "\n" + _prose(20, rnd) + "\n" + line, 17: _prose(10, rnd) + "\n" + line.replace("a", "e", 1) + "\n\n", 18: "", 19: None, 20: " \t\n ", 21: "one", 22: "one", 23: "tab\there\x0bvertical\x0cform\rreturn", 24: ("word " * 3000).strip(), 25: "a b c d  e é ß", 26: passage, 27: "\n".join([line] * 5)}
+    out |= {28 + i: " ".join(w if (j * 7 + i) % 60 else f"edit{i}" for j, w in enumerate(base.split())) for i in range(6)}
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 0, "x", "y", "z", "h") for i, t in _texts().items()]
+    return spark.createDataFrame([*rows, (None, "row without an id", "en", "s", 0, "x", "y", "z", "h")], SCHEMA).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (7, 6), (5, 5), (2, 1), (None, 4), *((i, i + 1) for i in range(100, 140))]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6} | {i: 100 for i in range(100, 141)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_substring_dedup(docs, none):
+    texts = {i: [w.decode() for w in words(t)] for i, t in _texts().items()}
+    first = {}
+    for i in sorted(texts):
+        for p in range(len(texts[i]) - 12):
+            first.setdefault(tuple(texts[i][p : p + 13]), i)
+    for flush in (4_000_000, 40):
+        got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs, flush_windows=flush).collect()}
+        assert set(got) == set(texts)
+        for i, w in texts.items():
+            gone = [False] * len(w)
+            for p in range(len(w) - 12):
+                if first[tuple(w[p : p + 13])] < i:
+                    gone[p : p + 13] = [True] * 13
+            kept = " ".join(x for x, g in zip(w, gone) if not g)
+            assert (got[i].n_words, got[i].n_removed, got[i].text, got[i].kept_sha256) == (len(w), sum(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
+    assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def _sets(n):
+    out = {}
+    for i, t in _texts().items():
+        w = [x for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        out[i] = {tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 50)])
+def test_ngram_join(docs, none, n, percent):
+    sets = _sets(n)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, n, percent).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+    if n == 4:
+        assert ngram_join.ngram_join(none).count() == 0
+        kept = ngram_join.keep_first(docs, n, percent)
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {i for i in sets if find(i) == i} | {None}
+
+
+def test_line_dedup(docs, none):
+    texts = _texts()
+    places = [(i, n, x) for i in sorted(texts) for n, x in enumerate((texts[i] or "").split("\n")) if texts[i] is not None and x.strip(" \t\r\x0b\f")]
+    grams = {x: {x[p : p + 5] for p in range(len(x) - 4)} if len(x) >= 5 else {x} for _, _, x in places}
+    names = sorted(grams)
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in names:
+        for b in names:
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                root[find(b)] = find(a)
+    seen, want = set(), collections.defaultdict(list)
+    for i, n, x in places:
+        if find(x) in seen:
+            want[i].append(n)
+        seen.add(find(x))
+    got = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
+    assert {i: r.removed for i, r in got.items()} == {i: want[i] for i in texts}
+    assert all(r.n_lines == (0 if texts[i] is None else texts[i].count("\n") + 1) and r.n_removed == len(r.removed) for i, r in got.items())
+    cleaned = line_dedup.dedup_lines(docs)
+    assert cleaned.columns == docs.columns
+    for r in cleaned.collect():
+        if r.doc_id is not None:
+            t = texts[r.doc_id]
+            assert r.text == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[r.doc_id]))
+    assert line_dedup.line_report(none).count() == 0 and line_dedup.dedup_lines(none).count() == 0
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs, drop_emptied=True).collect()} >= {0, 10, 18}
+
+
+def test_quality_counts():
+    text = "A b#c\n\nA b#c\n x x x x x y x x x x x y é|<>"
+    n_words, chars, symbols, dup, repeats, *_ = quality_rules.text_counts(text)
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    assert (n_words, chars, symbols, dup) == (len(w), sum(map(len, w)), 5, 1)
+    counts = collections.Counter(tuple(w[p : p + 5]) for p in range(len(w) - 4))
+    hit = [any(counts[tuple(w[p : p + 5])] > 1 for p in range(max(0, i - 4), min(i, len(w) - 5) + 1)) for i in range(len(w))]
+    assert repeats == sum(hit)
+    assert quality_rules.text_counts(None) == quality_rules.text_counts(" \n") == [0] * 11
+
+
+def _labelled(spark):
+    """Plain and junk documents with labels; a fifth of each kind without."""
+    rnd = random.Random(2)
+    rows, labels = [], []
+    for i in range(240):
+        bad, toxic = i % 4 == 0, i % 3 == 0
+        w = _prose(rnd.randint(15, 200), rnd).split()
+        if toxic:
+            w[len(w) // 2] = rnd.choice(["blorgh", "skrunk"])
+        text = " ".join(x + "%%%" for x in w) if bad else " ".join(w)
+        rows.append((i, text))
+        labels.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_rules(spark, docs, none):
+    corpus, labels = _labelled(spark)
+    rows = quality_rules.quality_rules(corpus, labels).collect()
+    assert all(r.base_failed or r.kept == (r.doc_id % 4 != 0) for r in rows)
+    unlabelled = labels.limit(0)
+    odd = {r.doc_id: r for r in quality_rules.quality_rules(docs, unlabelled).collect()}
+    assert set(odd) == set(_texts()) and not odd[19].kept and not odd[24].kept and odd[0].kept and all(r.rule == 0 for r in odd.values())
+    assert quality_rules.quality_rules(none, unlabelled).count() == 0
+    kept = quality_rules.keep_quality(corpus, labels)
+    assert kept.columns == corpus.columns and all(r.doc_id % 4 for r in kept.collect())
+
+
+@pytest.mark.parametrize(("operator", "label", "of"), [(quality_mil.quality_classifier, "quality", lambda i: i % 4 != 0), (toxicity.toxicity, "toxic", lambda i: i % 3 == 0)])
+def test_classifiers(spark, docs, none, operator, label, of):
+    import zlib
+
+    corpus, labels = _labelled(spark)
+    rows = operator(corpus, labels).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 20 and sum(r.predicted == of(r.doc_id) for r in held) >= 0.95 * len(held)
+    again = operator(corpus, labels.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col(label)).otherwise(F.col(label)))).collect()
+    assert {r.doc_id: round(r.score, 6) for r in again} == {r.doc_id: round(r.score, 6) for r in rows}
+    odd = operator(docs, labels).collect()
+    assert {r.doc_id for r in odd} == set(_texts()) and all(r.score == r.score for r in odd)
+    assert operator(none, labels).count() == 0 and operator(docs, labels.limit(0)).count() == len(_texts())
+
+
+def test_restoring(spark):
+    corpus = spark.createDataFrame([(i, "you are an idiot and a moron with pathetic trash for clowns " * 5) for i in range(20)], "doc_id long, text string")
+    model = toxicity.letter_model(corpus)
+    for disguised, plain in (("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooot", "idiot"), ("m0r0n", "moron"), ("p@thet1c", "pathetic"), ("tr4sh", "trash"), ("cl*wns", "clowns"), ("i d i o t", "idiot")):
+        assert plain in toxicity.restored(f"so {disguised} then", model, {})
+    assert toxicity.restored("plain words, only.", model, {}) == {"plain", "words", "only"}
+    assert toxicity.restored(None, model, {}) == set()
+
+
+def test_html():
+    page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="page"><header><a>Home</a></header><div id="cookie-notice">We use cookies</div>
+    <nav><ul><li>menu</ul></nav><div class=sidebar>side</div><div class="content"><h1>T&eacute;st &amp; more</h1><p>One  two<br>three <b>bold</b><p>Four<ul><li>a<li>b</ul>
+    <form><input><label>q</label></form><table><tr><td>x<td>y</table><div class="comments"><p>reader</div><script>if(a<b){"</p>"}</script>tail &lt; 5 a < b</div><footer>f</footer>"""
+    text = lambda p: [b.text for b in html_extract.chosen(html_extract.parse(p)[0])[0]]
+    assert text(page) == ["Tést & more", "One two three bold", "Four", "a", "b", "x", "y", "tail < 5 a < b"]
+    assert text("<body><div>out</div><article><header><h1>H</h1><span>by</span></header><p>A<aside>no</aside>B</article><article class=comment>c</article>") == ["H", "A", "B"]
+    assert text(None) == text("") == text("<p> &nbsp; </p>") == [] and text("plain &amp; text") == ["plain & text"]
+    assert text("<article>" + "<p><b>x" * 2000) == ["x"] * 2000
+
+
+def test_style_tree(spark):
+    """Without <article>, a branch that is the same on all pages of a host goes; what differs stays."""
+    rows = [(i, f"http://h{i % 2}.org/{i}", f"<body><div class=top>Welcome here</div><div class=text><p>Story {i}<p>More {i * 7}</div></body>") for i in range(60)]
+    rows += [(100, None, None), (101, "http://solo.org/", "<div class=top>Welcome here</div>"), (None, "x", "<article>y</article>")]
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, low string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.html_extract(pages).collect()}
+    assert got[3] == ("Story 3\nMore 21", 15) and got[100] == ("", 0) and got[101] == ("Welcome here", 12) and got[None] == ("y", 1)
+    assert html_extract.html_extract(pages.limit(0)).count() == 0
+
+
+def test_url_filter(spark):
+    cases = [("http://A.Example.ORG/es/x", "example.org/es/", "block"), ("https://example.org/en/125?q", "example.org/en/1", "block"), ("http://x.org/", "org/", "allow"), ("http://x.org", None, "allow"), ("http://notexample.org/es/", "org/", "allow"), ("http://b.com/fr/1#t", "com/fr/", "allow"), ("http://com/de/", "com/de/", "block"), ("http://b.net/de/", None, "allow"), ("no scheme", None, "allow"), (None, None, "allow"), ("http://x.org/", "org/", "allow"), ("http:///fr/", None, "allow")]
+    pages = spark.createDataFrame([(i, u, "e") for i, (u, *_) in enumerate(cases)], "page_id long, url string, entry string")
+    rules = url_filter.rule_table(spark, url_filter.RULES)
+    got = {r.page_id: r for r in url_filter.url_filter(pages, rules).collect()}
+    assert {i: (r.rule, r.verdict) for i, r in got.items()} == {i: c[1:] for i, c in enumerate(cases)}
+    assert (got[0].host, got[0].path, got[8].host, got[9].path) == ("a.example.org", "/es/x", "", "")
+    assert all(r.verdict == "allow" and r.rule is None for r in url_filter.url_filter(pages, rules.limit(0)).collect())
+    assert url_filter.url_filter(pages.limit(0), rules).count() == 0
+    # many entries: the filter lets possible hits through and the join has the last word
+    many = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".org/p")).alias("entry"), F.lit("block").alias("verdict"))
+    seen = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".org/p")).alias("url"))
+    assert {r.page_id for r in url_filter.url_filter(seen, many).where("verdict = 'block'").collect()} == set(range(3000))
+
+
+def test_leaks(spark, docs, none):
+    rnd = random.Random(9)
+    items = [(i, _prose(rnd.randint(15, 40), rnd), "e") for i in range(12)] + [(50, "tiny item", "e"), (51, "", "e"), (52, None, "e"), (None, "x y z", "e")]
+    rows, want = [], set()
+    for i in range(12):
+        w = items[i][1].split()
+        changed = list(w)
+        changed[1] = "swapped"
+        for j, piece in enumerate((w, [x.upper() for x in w], changed, w[: len(w) // 2])):
+            rows.append((10 * i + j, _prose(20, rnd) + "\n" + " ".join(piece) + " " + _prose(20, rnd)))
+    rows += [(900, "so a tiny item here"), (901, "tiny"), (902, None), (903, ""), (904, items[3][1])]
+    corpus = spark.createDataFrame([(*r, "e", "f") for r in rows], "doc_id long, text string, item_id string, size string")
+    shingles = lambda w, n: collections.Counter(tuple(w[p : p + n]) for p in range(len(w) - n + 1))
+    for d, t, *_ in rows:
+        w = (t or "").lower().split()
+        for i, s, _ in items:
+            iw = (s or "").lower().split()
+            if i is None or not iw:
+                continue
+            n, m = min(5, len(iw)), len(iw)
+            a = shingles(iw, n)
+            for p in range(max(1, len(w) - m + 1)):
+                b = shingles(w[p : p + m], n)
+                if b and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.add((d, i))
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(corpus, bench).collect()} == want and len(want) > 24
+    clean = decontaminate.decontaminate(corpus, bench)
+    assert clean.columns == corpus.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in want}
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(none, bench).count() == 0
+
+
+def test_hamming_index(spark):
+    """Every fingerprint within the radius is found."""
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(63) for _ in range(6)]
+    near = [(i, b ^ sum(1 << x for x in rnd.sample(range(63), d))) for i, b in enumerate(base) for d in (0, 5, decontaminate.RADIUS)]
+    index = decontaminate.multi_index(spark.createDataFrame(list(enumerate(base)), "i long, f long"), "f", exact=False)
+    asked = decontaminate.multi_index(spark.createDataFrame([(n, *x) for n, x in enumerate(near)], "n long, i long, g long"), "g", exact=True).withColumnRenamed("i", "j")
+    assert {r.n for r in index.join(asked, "part").where("i = j").select("n").collect()} == set(range(len(near)))
+
+
+def test_mixing(spark, docs, none):
+    corpus, labels = _labelled(spark)
+    known = labels.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("junk").alias("domain"))
+    rows = mixing.mixing_rates(corpus, known, {"good": 0.5, "junk": 0.5}).collect()
+    total = sum(r.n_words for r in rows)
+    for d in ("good", "junk"):
+        assert abs(sum(r.rate * r.n_words * r[f"p_{d}"] for r in rows) / total - 0.5) < 0.01
+    assert all(r.rate >= 0 and abs(r.p_good + r.p_junk - 1) < 1e-9 for r in rows)
+    out = mixing.mix(docs, known, {"good": 0.9, "junk": 0.1})
+    assert out.count() == docs.count() and out.where("rate is null").count() == 0 and out.columns == docs.columns[:-2] + ["hi", "rate"] or "rate" in out.columns
+    assert mixing.mix(none, known, {"good": 1.0}).count() == 0
+    assert {r.rate for r in mixing.mix(docs, known.limit(0), {"good": 1.0}).collect()} == {1.0}
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    item = _prose(25, rnd)
+    rows = [(i, _prose(rnd.randint(40, 80), rnd), "en", "s", 0) for i in range(60)]
+    rows += [(100 + i, rows[i][1], "en", "s", 0) for i in range(5)] + [(200, _prose(20, rnd) + " " + item + " " + _prose(20, rnd), "en", "s", 0), (201, "short", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(60)) and all(r.rate >= 0 for r in out)
