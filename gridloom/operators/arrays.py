@@ -148,6 +148,19 @@ def planes_payload(payload: bytes, width: int, inverse: bool = False) -> bytes:
     return out.tobytes() + tail
 
 
+def with_distance(df: DataFrame, name: str, coords: list[str], k: int, out: str = "d") -> DataFrame:
+    """df with the curve distance. Hilbert beyond two dimensions is computed by numpy in Arrow batches, which is faster
+    than the interpreted expression; the expression (curves.to_distance) stays for plans that filter on the key."""
+    if curves.ALIASES.get(name.lower(), name.lower()) != "hilbert" or len(coords) == 2:
+        return df.withColumn(out, curves.curve(name).forward([F.col(c) for c in coords], k))
+
+    @F.pandas_udf("long")
+    def distance(*axes: pd.Series) -> pd.Series:
+        return pd.Series(_np_hilbert(np.stack([a.to_numpy(np.int64) for a in axes]), k))
+
+    return df.withColumn(out, distance(*coords))
+
+
 def map_payload(df: DataFrame, column: str, change) -> DataFrame:
     """df with a payload column changed by bytes -> bytes, in Arrow batches; no shuffle."""
 

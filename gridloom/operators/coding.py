@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from gridloom.functions.codecs import BLOCK, bzip_block, codec
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a few large files give fewer tasks than there are cores, and codecs cost far more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def encode_column(df: DataFrame, payload: str, name: str, width: int = 2) -> DataFrame:
     """df with `encoded` (binary) and `used_bits` (null where the codec has no such field). Null payloads stay null."""
     chosen = codec(name)
@@ -21,7 +27,7 @@ def encode_column(df: DataFrame, payload: str, name: str, width: int = 2) -> Dat
             yield batch.assign(encoded=[x for x, _ in done], used_bits=pd.array([y for _, y in done], "Int32"))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{fields}, encoded binary, used_bits int")
+    return spread(df).mapInPandas(run, f"{fields}, encoded binary, used_bits int")
 
 
 def decode_column(df: DataFrame, name: str, width: int = 2, encoded: str = "encoded", bits: str = "used_bits") -> DataFrame:

@@ -50,7 +50,7 @@ def morton_cells(spark: SparkSession, sf: str) -> DataFrame:
 def _forward(name: str, n: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         df, axes, k = (_grid2(spark, sf), ["x", "y"], K2) if n == 2 else (_grid3(spark, sf), ["x", "y", "z"], K3)
-        return df.select(*axes, curves.curve(name).forward([F.col(a) for a in axes], k).alias("d"))
+        return arrays.with_distance(df.select(*axes), name, axes, k)
 
     return run
 
