@@ -47,8 +47,3 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint for df only if its counted rows fit BROADCAST_BYTES; else df, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
-
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions for df's payload: as configured, and no fewer than one for each two input partitions."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
