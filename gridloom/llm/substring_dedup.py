@@ -36,7 +36,7 @@ from gridloom.llm.textops import window_hashes, word_hashes, words
 from gridloom.llm.util import ship_package
 
 #: Windows that a map task gathers before it sorts and ships them; bounds its memory (about 40 bytes each).
-FLUSH_WINDOWS = 4_000_000
+FLUSH_WINDOWS = 1_500_000
 
 _PACKED = "bucket int, n long, hashes binary, wide boolean, docs binary, counts binary, owner binary, pos binary, pos_width int"
 _EDGES = "bucket int, doc_id long, kind int, blob binary, src binary, meta binary"
