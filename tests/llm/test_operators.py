@@ -134,6 +134,28 @@ def test_line_dedup(docs, none):
     assert {r.doc_id for r in line_dedup.dedup_lines(docs, drop_emptied=True).collect()} >= {0, 10, 18}
 
 
+def _jaccard_lines(x, y):
+    a, b = ({t[p : p + 5] for p in range(len(t) - 4)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_line_dedup_large_group(spark, monkeypatch):
+    """Two strays beside a linked group are joined though their two-band groups hold more lines than have two leaders."""
+    monkeypatch.setattr(line_dedup, "AGREE", 0)
+    rnd = random.Random(12)
+    near = _prose(30, rnd)
+    lines = [" ".join(w if j != k % 30 else f"v{k}" for j, w in enumerate(near.split())) for k in range(120)]
+    lines += ["stray alpha " + _prose(25, rnd)]
+    lines += [lines[-1] + " x"]
+    # one signature for all: every group holds every line
+    monkeypatch.setattr(line_dedup, "_minima", lambda: ["0"] * (line_dedup.BANDS * line_dedup.ROWS))
+    monkeypatch.setattr(line_dedup, "BLOCK", 32, raising=False)
+    corpus = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    removed = {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed}
+    assert _jaccard_lines(*lines[-2:]) > 0.8 > _jaccard_lines(lines[0], lines[-1])
+    assert len(lines) - 1 in removed and len(lines) - 2 not in removed
+
+
 def test_quality_counts():
     text = "A b#c\n\nA b#c\n x x x x x y x x x x x y é|<>"
     n_words, chars, symbols, dup, repeats, *_ = quality_rules.text_counts(text)
