@@ -156,6 +156,16 @@ def test_line_dedup_large_group(spark, monkeypatch):
     assert len(lines) - 1 in removed and len(lines) - 2 not in removed
 
 
+def test_line_dedup_signatures(spark):
+    """Lines that few or no spaces cut are linked as well: short ones, URLs, tabs, scripts without spaces."""
+    pairs = [("Read more...", "Read more.."), ("All rights reserved worldwide 2023.", "All rights reserved worldwide 2024."), ("http://example.org/archive/2024/item/1234567890/view", "http://example.org/archive/2024/item/1234567890/vie"), ("\t".join(f"cell{i}" for i in range(40)), "\t".join(f"cell{i}" for i in range(39)) + "\tcell4x"), ("春眠不覚暁処処聞啼鳥夜来風雨声花落知多少今日晴天", "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少今日晴"), ("\U0001f600" * 3 + "smile and wave to all", "\U0001f600" * 3 + "smile and wave to al")]
+    assert all(_jaccard_lines(*p) >= 0.8 for p in pairs)
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed} == set(range(1, 2 * len(pairs), 2))
+    grams = spark.createDataFrame([("a\U0001f600b\nc d",), ("abc",), ("",)], "t string").select(F.sort_array(F.expr(line_dedup._grams("t")))).collect()
+    assert [set(g) for g, in grams] == [{"a\U0001f600b\nc", "\U0001f600b\nc ", "b\nc d"}, {"abc"}, {""}]
+
+
 def test_quality_counts():
     text = "A b#c\n\nA b#c\n x x x x x y x x x x x y é|<>"
     n_words, chars, symbols, dup, repeats, *_ = quality_rules.text_counts(text)
