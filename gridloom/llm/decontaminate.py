@@ -6,8 +6,9 @@ Words are maximal runs of characters other than space and tab to carriage return
 1. Every shingle of every whole text is hashed in place and probed against the shingles of the items. A window of
    weighted similarity s with an item holds shingles of at least s of the item's weight, so documents that do not hold
    that much of an item in all need no window: this loses nothing.
-2. Around every shared shingle of the remaining documents, all item-sized windows whose start is within a fifth of the
-   item's length of where the shingle would put it are fingerprinted: 64-bit SimHash over their weighted shingles.
+2. Every item-sized window of the remaining documents that holds enough shared shingles for the similarity, wherever and in
+   whatever order they stand, is fingerprinted: 64-bit SimHash over its weighted shingles. Windows of one size with
+   weighted similarity s have 2 s / (1 + s) of their shingles in common, so this loses nothing either.
 3. The fingerprints of windows and items of one size meet in a multi-index: 64 bits in BLOCKS parts, each item entered
    under every value within RADIUS // BLOCKS bits of each part. Two fingerprints within RADIUS bits agree so closely
    in one part at least, so the index returns all of them.
@@ -103,13 +104,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
 
     windows = []
     for length in lengths:
-        own = held.join(entries.where(F.col("length") == length), "item_id").select("doc_id", "item_id", "size", "off", "hash")
+        own = held.join(entries.where(F.col("length") == length), "item_id").select("doc_id", "item_id", "size", "hash").distinct()
         # a window's shingles are a slice of its document's
         hashed = materialize(few.select("doc_id", F.size("words").alias("n"), F.expr(_hashes("words", length)).alias("hashes")), "hashed")
         shingles = hashed.select("doc_id", "n", F.posexplode("hashes").alias("pos", "hash"))
-        about = own.join(shingles, ["doc_id", "hash"]).select("doc_id", "size", "n", (F.col("pos") - F.col("off")).alias("at")).distinct()
-        slack = "cast(ceil(size / 5) as int)"
-        starts = about.select("doc_id", "size", "n", F.explode(F.expr(f"sequence(at - {slack}, at + {slack})")).alias("start")).where("start >= 0 and start + size <= n").select("doc_id", "size", "start").distinct()
+        about = own.join(shingles, ["doc_id", "hash"]).select("doc_id", "item_id", "size", "n", "pos")
+        around = f"if(n >= size, sequence(greatest(0, pos - size + {length}), least(pos, n - size)), cast(array() as array<int>))"
+        enough = f"count(*) * {1 + least!r}D >= {2 * least!r}D * (size - {length - 1}) - 1e-6D"
+        starts = about.select("doc_id", "item_id", "size", F.explode(F.expr(around)).alias("start")).groupBy("doc_id", "item_id", "size", "start").agg(F.expr(enough).alias("enough")).where("enough").select("doc_id", "size", "start").distinct()
         # a document that is shorter than the item has one window, itself
         whole = about.where("n < size").select("doc_id", "size", F.lit(0).alias("start")).distinct()
         windows.append(starts.union(whole).join(hashed.select("doc_id", "hashes"), "doc_id").select("doc_id", "size", "start", F.expr(f"slice(hashes, start + 1, size - {length - 1})").alias("window")))

@@ -297,6 +297,17 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(none, bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [44, 60, 100])
+def test_leaks_reordered(spark, n):
+    """An item whose halves are swapped is found."""
+    rnd = random.Random(n)
+    w = [f"w{i}" for i in range(n)]
+    text = _prose(80, rnd) + " " + " ".join(w[n // 2 :] + w[: n // 2]) + " " + _prose(80, rnd)
+    got = decontaminate.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).collect()
+    both = n - 4 - 4
+    assert [(r.doc_id, r.item_id, r.start) for r in got] == [(1, 7, 80)] and abs(got[0].similarity - both / (2 * (n - 4) - both)) < 1e-9
+
+
 def test_hamming_index(spark):
     """Every fingerprint within the radius is found."""
     rnd = random.Random(4)
