@@ -9,8 +9,9 @@ Everything is DataFrame functions.
    domains is that of naive Bayes from these tables; a document belongs to every domain in part.
 3. Each document gets a rate r >= 0, its expected number of copies. With n words and posteriors p, domain k has the
    expected total S_k = sum of r n p_k. The rates minimise sum((S_k - T_k)**2) / 2T**2 + ridge * sum(n (r - 1)**2) / 2N, where
-   T_k is the target weight times the budget of words: projected gradient steps, each one sum over a written table that
-   holds a handful of numbers a document. Steps scale with the curvature that the first sums show.
+   T_k is the target weight times the budget of words. At the optimum a rate is max(0, 1 - pull / ridge), the pull being the
+   gaps weighed by the posteriors, so the steps move one number a domain: projected gradient steps scaled by the domains'
+   curvature matrix, each one sum over a written table, until the projected gradient is under the tolerance.
 
 Null and empty texts have no words: they get the rate 1, which changes no total. Rows without doc_id keep their columns
 and are mixed like others. Domains without labelled documents get no posterior and their target can't be met. Without any
@@ -19,8 +20,11 @@ labelled document all rates are 1. Target weights are scaled to sum to 1.
 
 from __future__ import annotations
 
+import logging
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,31 +92,47 @@ def solve_rates(members: DataFrame, targets: list[float], ridge: float, steps: i
     """members (doc_id, n_words, p) with rate; targets are shares of the words, in the order of p.
 
     A rate only follows its document's posterior: the gradient by r is n times sum((S_k - T_k) p_k) / T**2 + ridge (r - 1) / N.
-    Steps are divided by n (the metric of words), so all documents move alike and the projection stays a floor at 0.
+    It is divided by n (the metric of words), so all documents move alike and the projection stays a floor at 0. Reached
+    shares are logged against the targets; rates that are not within `tolerance` of the optimum after `steps` give a warning.
     """
-    k = len(targets)
-    flat = members.select("doc_id", "n_words", *(F.col("p")[i].alias(f"p{i}") for i in range(k)), F.lit(1.0).alias("rate"))
-    words = [F.coalesce(F.sum(F.col("rate") * F.col("n_words") * F.col(f"p{i}")), F.lit(0.0)) for i in range(k)]
-    cross = [F.coalesce(F.sum(F.col("n_words") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)) for i in range(k) for j in range(k)]
-    first = flat.agg(F.coalesce(F.sum("n_words"), F.lit(0)), *words, *cross).first()
-    total = float(first[0])
+    k, ridge = len(targets), max(ridge, 1e-9)
+    flat = members.select("doc_id", "n_words", *(F.col("p")[i].alias(f"p{i}") for i in range(k)))
+    total = float(flat.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
     if not total:
         return members.withColumn("rate", F.lit(1.0))
-    # the largest row sum of the curvature bounds its largest eigenvalue
-    curve = max(sum(first[1 + k + i * k + j] for j in range(k)) for i in range(k)) / total + ridge
-    step, now, sums = 1.0 / curve, flat, [float(first[1 + i]) for i in range(k)]
-    speed, before = 0.0, None
-    for n in range(steps):
-        gap = [s / total - t for s, t in zip(sums, targets, strict=True)]
-        if before is not None and max(abs(a - b) for a, b in zip(gap, before, strict=True)) < tolerance:
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    want = np.array(targets)
+
+    def rated(gaps: np.ndarray) -> DataFrame:
+        """The rates that these gaps ask for: where they are the gaps that the rates leave, the projected gradient is 0."""
+        pull = " + ".join(f"({float(g)!r}D * p{i})" for i, g in enumerate(gaps))
+        return flat.withColumn("rate", F.expr(f"greatest(0D, 1 - ({pull}) / {ridge!r}D)"))
+
+    def look(gaps: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Objective of the gaps, its gradient and curvature, and the domains' shares."""
+        sums = [f"sum(rate * n_words * p{i})" for i in range(k)] + [f"sum(if(rate > 0, n_words * p{i} * p{j}, 0D))" for i, j in pairs] + ["sum(n_words * rate * rate)"]
+        got = np.array(rated(gaps).agg(*(F.expr(f"coalesce({x}, 0D)").alias(f"s{n}") for n, x in enumerate(sums))).first(), float) / total
+        curve = np.eye(k)
+        for (i, j), c in zip(pairs, got[k:-1], strict=True):
+            curve[i, j] += c / ridge
+            curve[j, i] = curve[i, j]
+        return float(gaps @ gaps / 2 + gaps @ want + ridge * got[-1] / 2), gaps + want - got[:k], curve, got[:k]
+
+    gaps = np.zeros(k)
+    value, slope, curve, shares = look(gaps)
+    for _ in range(steps):
+        if np.abs(slope).max() <= tolerance * ridge:
             break
-        before = gap
-        pull = " + ".join(f"({g!r}D * p{i})" for i, g in enumerate(gap))
-        now = now.withColumn("rate", F.expr(f"greatest(0D, rate - {step!r}D * ({pull} + {ridge!r}D * (rate - 1)))"))
-        if n % 5 == 4:
-            now = materialize(now, "rates")
-        sums = [float(x) for x in now.agg(*words).first()]
-    return now.select("doc_id", "n_words", F.array(*(f"p{i}" for i in range(k))).alias("p"), "rate")
+        move, length = -np.linalg.solve(curve, slope), 1.0
+        while (after := look(gaps + length * move))[0] > value + 1e-4 * length * float(slope @ move) + 1e-15 and length > 1e-6:
+            length /= 2
+        gaps = gaps + length * move
+        value, slope, curve, shares = after
+    reached = ", ".join(f"{x:.6f} of {t:.6f}" for x, t in zip(shares, targets, strict=True))
+    if np.abs(slope).max() > tolerance * ridge:
+        warnings.warn(f"rates are not at their optimum after {steps} steps; shares of words reached: {reached}", stacklevel=2)
+    logging.getLogger(__name__).info("shares of words reached: %s", reached)
+    return rated(gaps).select("doc_id", "n_words", F.array(*(f"p{i}" for i in range(k))).alias("p"), "rate")
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], ridge: float = 0.001, steps: int = 100, tolerance: float = 1e-5) -> DataFrame:

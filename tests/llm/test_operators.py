@@ -332,6 +332,16 @@ def test_mixing(spark, docs, none):
     assert {r.rate for r in mixing.mix(docs, known.limit(0), {"good": 1.0}).collect()} == {1.0}
 
 
+def test_rare_domains(spark):
+    """Rates are at the optimum, which hard posteriors give in closed form, however rare a domain is."""
+    shares, targets, ridge = [0.8, 0.15, 0.04, 0.009, 0.001], [0.55, 0.18, 0.16, 0.09, 0.02], 0.001
+    rows = [(i, int(1e6 * w), [float(i == j) for j in range(5)]) for i, w in enumerate(shares)]
+    got = mixing.solve_rates(spark.createDataFrame(rows, "doc_id long, n_words long, p array<double>"), targets, ridge, 100, 1e-5).collect()
+    for r in got:
+        w, t = shares[r.doc_id], targets[r.doc_id]
+        assert abs(r.rate - (t + ridge) / (w + ridge)) < 0.01
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
