@@ -24,9 +24,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own in local mode only."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         told = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(told)
     return told
@@ -47,3 +49,24 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint for df only if its counted rows fit BROADCAST_BYTES; else df, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with the column `row` that, with doc_id, tells rows apart: 0, or a number of its own where a doc_id repeats.
+
+    Only rows of repeated ids are written down, so that their numbers stay; rows without doc_id have 0.
+    """
+    ids = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(row)).where(f"`{row}` > 1").select("doc_id"), "repeated-ids")
+    n = ids.count()
+    if not n:
+        return docs.withColumn(row, F.lit(0).cast("long"))
+    again = materialize(docs.join(small(ids, n, 16), "doc_id", "left_semi").withColumn(row, F.monotonically_increasing_id() + 1), "repeated-rows")
+    return docs.join(small(ids, n, 16), "doc_id", "left_anti").withColumn(row, F.lit(0).cast("long")).unionByName(again)
