@@ -148,7 +148,7 @@ def test_line_dedup_large_group(spark, monkeypatch):
     lines += ["stray alpha " + _prose(25, rnd)]
     lines += [lines[-1] + " x"]
     # one signature for all: every group holds every line
-    monkeypatch.setattr(line_dedup, "_minima", lambda: ["0"] * (line_dedup.BANDS * line_dedup.ROWS))
+    monkeypatch.setattr(line_dedup, "_minima", lambda: ["0"] * line_dedup.MINIMA)
     monkeypatch.setattr(line_dedup, "BLOCK", 32, raising=False)
     corpus = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     removed = {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed}
