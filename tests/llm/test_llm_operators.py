@@ -140,8 +140,9 @@ def _jaccard_lines(x, y):
 
 
 def test_line_dedup_large_group(spark, monkeypatch):
-    """Two strays beside a linked group are joined though their two-band groups hold more lines than have two leaders."""
+    """Two strays beside a linked group are joined though all their bands hold every line."""
     monkeypatch.setattr(line_dedup, "AGREE", 0)
+    monkeypatch.setattr(line_dedup, "NEAR", 130)
     rnd = random.Random(12)
     near = _prose(30, rnd)
     lines = [" ".join(w if j != k % 30 else f"v{k}" for j, w in enumerate(near.split())) for k in range(120)]
@@ -149,7 +150,6 @@ def test_line_dedup_large_group(spark, monkeypatch):
     lines += [lines[-1] + " x"]
     # one signature for all: every group holds every line
     monkeypatch.setattr(line_dedup, "_minima", lambda: ["0"] * line_dedup.MINIMA)
-    monkeypatch.setattr(line_dedup, "BLOCK", 32, raising=False)
     corpus = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     removed = {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed}
     assert _jaccard_lines(*lines[-2:]) > 0.8 > _jaccard_lines(lines[0], lines[-1])
