@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.util import materialize, small
+from gridloom.llm.util import free_name, materialize
 
 
 def _rate(*signs: str) -> str:
@@ -51,12 +51,12 @@ FEATURES = {
 SPAN = 8
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, and the cell of each feature."""
+def _counted(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, others, n_words, and the cell of each feature."""
     words = "if(text is null, 0, size(split(trim(BOTH ' \\t\\n\\r\\u000B\\u000C' FROM text), '[ \\\\t-\\\\r]+')) - if(trim(BOTH ' \\t\\n\\r\\u000B\\u000C' FROM text) = '', 1, 0))"
     base = docs.withColumn("n_words", F.expr(words).cast("long"))
     cells = [F.expr(f"coalesce(cast(least({SPAN}, greatest(-{SPAN}, round(log2(greatest(({e}), 1e-9D))))) as int), -{SPAN})").alias(f) for f, e in FEATURES.items()]
-    return base.select("doc_id", "n_words", *cells)
+    return base.select("doc_id", *others, "n_words", *cells)
 
 
 def cell_tables(counted: DataFrame, labelled: DataFrame) -> tuple[list[str], DataFrame]:
@@ -88,30 +88,39 @@ def posteriors(counted: DataFrame, domains: list[str], table: DataFrame) -> Data
     return shifted.withColumn("p", F.expr("transform(likely, x -> x / aggregate(likely, 0D, (s, v) -> s + v))")).drop("logs", "prior", "sums", "likely")
 
 
-def solve_rates(members: DataFrame, targets: list[float], ridge: float, steps: int, tolerance: float) -> DataFrame:
-    """members (doc_id, n_words, p) with rate; targets are shares of the words, in the order of p.
+def _shares(domains: list[str], weights: dict[str, float]) -> list[float]:
+    scale = sum(max(0.0, weights.get(d, 0.0)) for d in domains) or 1.0
+    return [max(0.0, weights.get(d, 0.0)) / scale for d in domains]
+
+
+def _rate_of(gaps: np.ndarray, ridge: float, p: str = "p[{}]") -> str:
+    """The rate that these gaps ask of posteriors p: where they are the gaps that the rates leave, the projected gradient is 0."""
+    pull = " + ".join(f"({float(g)!r}D * {p.format(i)})" for i, g in enumerate(gaps))
+    return f"greatest(0D, 1 - ({pull}) / {max(ridge, 1e-9)!r}D)"
+
 
-    A rate only follows its document's posterior: the gradient by r is n times sum((S_k - T_k) p_k) / T**2 + ridge (r - 1) / N.
+def solve_gaps(members: DataFrame, targets: list[float], ridge: float, steps: int, tolerance: float) -> np.ndarray | None:
+    """One number a domain, from which _rate_of has the rates of members (doc_id, n_words, p); None without any words.
+
+    targets are shares of the words, in the order of p. Documents of equal posteriors move alike, so each step sums a table
+    that has one row for each distinct posterior. A rate only follows its document's posterior: the gradient by r is
+    n times sum((S_k - T_k) p_k) / T**2 + ridge (r - 1) / N.
     It is divided by n (the metric of words), so all documents move alike and the projection stays a floor at 0. Reached
     shares are logged against the targets; rates that are not within `tolerance` of the optimum after `steps` give a warning.
     """
     k, ridge = len(targets), max(ridge, 1e-9)
-    flat = members.select("doc_id", "n_words", *(F.col("p")[i].alias(f"p{i}") for i in range(k)))
+    flat = materialize(members.where("n_words > 0").groupBy(*(F.col("p")[i].alias(f"p{i}") for i in range(k))).agg(F.sum("n_words").alias("n_words")), "posteriors")
     total = float(flat.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
     if not total:
-        return members.withColumn("rate", F.lit(1.0))
+        return None
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
     want = np.array(targets)
 
-    def rated(gaps: np.ndarray) -> DataFrame:
-        """The rates that these gaps ask for: where they are the gaps that the rates leave, the projected gradient is 0."""
-        pull = " + ".join(f"({float(g)!r}D * p{i})" for i, g in enumerate(gaps))
-        return flat.withColumn("rate", F.expr(f"greatest(0D, 1 - ({pull}) / {ridge!r}D)"))
-
     def look(gaps: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Objective of the gaps, its gradient and curvature, and the domains' shares."""
+        rated = flat.withColumn("rate", F.expr(_rate_of(gaps, ridge, "p{}")))
         sums = [f"sum(rate * n_words * p{i})" for i in range(k)] + [f"sum(if(rate > 0, n_words * p{i} * p{j}, 0D))" for i, j in pairs] + ["sum(n_words * rate * rate)"]
-        got = np.array(rated(gaps).agg(*(F.expr(f"coalesce({x}, 0D)").alias(f"s{n}") for n, x in enumerate(sums))).first(), float) / total
+        got = np.array(rated.agg(*(F.expr(f"coalesce({x}, 0D)").alias(f"s{n}") for n, x in enumerate(sums))).first(), float) / total
         curve = np.eye(k)
         for (i, j), c in zip(pairs, got[k:-1], strict=True):
             curve[i, j] += c / ridge
@@ -132,7 +141,13 @@ def solve_rates(members: DataFrame, targets: list[float], ridge: float, steps: i
     if np.abs(slope).max() > tolerance * ridge:
         warnings.warn(f"rates are not at their optimum after {steps} steps; shares of words reached: {reached}", stacklevel=2)
     logging.getLogger(__name__).info("shares of words reached: %s", reached)
-    return rated(gaps).select("doc_id", "n_words", F.array(*(f"p{i}" for i in range(k))).alias("p"), "rate")
+    return gaps
+
+
+def solve_rates(members: DataFrame, targets: list[float], ridge: float, steps: int, tolerance: float) -> DataFrame:
+    """members (doc_id, n_words, p) with rate; documents without words, which change no total, have 1."""
+    gaps = solve_gaps(members, targets, ridge, steps, tolerance)
+    return members.withColumn("rate", F.lit(1.0) if gaps is None else F.expr(f"if(n_words = 0, 1D, {_rate_of(gaps, ridge)})"))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], ridge: float = 0.001, steps: int = 100, tolerance: float = 1e-5) -> DataFrame:
@@ -145,17 +160,29 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     if not domains:
         return counted.select("doc_id", "n_words", F.lit(1.0).alias("rate"))
     members = materialize(posteriors(counted, domains, table).select("doc_id", "n_words", "p"), "members")
-    scale = sum(max(0.0, weights.get(d, 0.0)) for d in domains) or 1.0
-    rated = solve_rates(members, [max(0.0, weights.get(d, 0.0)) / scale for d in domains], ridge, steps, tolerance)
+    rated = solve_rates(members, _shares(domains, weights), ridge, steps, tolerance)
     return rated.select("doc_id", "n_words", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
-    """The documents with rate, their expected number of copies; nothing is drawn or dropped."""
-    rates = materialize(mixing_rates(docs, labelled, weights, **options).groupBy("doc_id").agg(F.first("rate").alias("_rate")), "mixed")
-    own = docs.drop("rate") if "rate" in docs.columns else docs
-    joined = own.alias("d").join(small(rates, rates.count(), 32).alias("r"), F.col("d.doc_id") == F.col("r.doc_id"), "left")
-    return joined.select(*(F.col(f"d.`{c}`") for c in own.columns), F.coalesce("_rate", F.lit(1.0)).alias("rate"))
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], ridge: float = 0.001, steps: int = 100, tolerance: float = 1e-5) -> DataFrame:
+    """The documents with rate, their expected number of copies; nothing is drawn or dropped.
+
+    A column rate that they have is replaced. The rate is an expression of each row's own text, so rows that repeat a
+    doc_id, or have none, get the rate of their text.
+    """
+    counted = materialize(_counted(docs), "counted")
+    domains, table = cell_tables(counted, labelled)
+    if not domains:
+        return docs.withColumn("rate", F.lit(1.0))
+    members = materialize(posteriors(counted, domains, table).select("doc_id", "n_words", "p"), "members")
+    gaps = solve_gaps(members, _shares(domains, weights), ridge, steps, tolerance)
+    if gaps is None:
+        return docs.withColumn("rate", F.lit(1.0))
+    row = free_name(docs, "row")
+    kept = [F.col(f"{row}.`{c}`") for c in docs.columns if c != "rate"]
+    every = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    rated = posteriors(_counted(every, row), domains, table).withColumn("rate", F.expr(_rate_of(gaps, ridge)))
+    return rated.select(*kept, F.expr("if(n_words = 0, 1D, rate)").alias("rate"))
 
 
 #: The query's domains, and the shares of words they should have.
