@@ -34,7 +34,10 @@ MASKS, SEPARATORS = "*#", ".-_~'`^,:;/\\"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRAIL = re.compile(r"^[\"'(\[{.,;:?*#%&_~-]+|(?:[\"')\]}.,;:?!*#%&_~-]|\$\$+|!!+)+$")
 _ODD = re.compile(r"[^\W\d_]([^\w]|[\d_])|([^\w]|[\d_])[^\W\d_]|([^\W\d_])\3\3")
-_SINGLES = re.compile(r"(?:(?<=[\x20\x09-\x0D])|^)(?:[^\x20\x09-\x0D][\x20\x09-\x0D]){3,}[^\x20\x09-\x0D](?=[\x20\x09-\x0D]|$)")
+#: Ends in signs that may hide letters, after a letter or an imitated one; and what may stand around such a word.
+_MASKED = re.compile(r"[^\W_].*[*#$@]+[\"')\]}.,;:?!]*$")
+_QUOTES = re.compile(r"^[\"'(\[{]+|[\"')\]}.,;:?!]+$")
+_SINGLES = re.compile(r"(?:(?<=[\x20\x09-\x0D])|^)(?:[^\x20\x09-\x0D][\x20\x09-\x0D]){2,}[^\x20\x09-\x0D](?=[\x20\x09-\x0D]|$)")
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
@@ -48,23 +51,27 @@ def _count_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text:
                 c = _CODE[np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", np.uint8)]
                 total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=total.size)
-    yield pd.DataFrame({"counts": [total.tobytes()]})
+    yield pd.DataFrame({"block": np.arange(27), "counts": [x.tobytes() for x in total.reshape(27, -1)]})
 
 
-def letter_model(docs: DataFrame) -> np.ndarray:
-    """log P(third | first two) over boundary and a to z, from all documents; counts are summed table by table."""
-    counted = docs.mapInPandas(_count_letters, "counts binary")
+def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch["block"], batch["counts"], strict=True):
+            total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
+    if total:
+        yield pd.DataFrame({"block": list(total), "counts": [x.tobytes() for x in total.values()]})
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(27**3, np.int64)
-        for batch in batches:
-            for got in batch["counts"]:
-                total += np.frombuffer(got, np.int64)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
 
-    total = np.zeros(27**3, np.int64)
-    for row in counted.coalesce(8).mapInPandas(add, "counts binary").toLocalIterator():
-        total += np.frombuffer(row["counts"], np.int64)
+def letter_model(docs: DataFrame) -> np.ndarray:
+    """log P(third | first two) over boundary and a to z, from all documents.
+
+    Each task counts its own documents; the tables are summed by block, one for each first letter, and 27 rows are collected.
+    """
+    counted = docs.mapInPandas(_count_letters, "block int, counts binary")
+    total = np.zeros((27, 27**2), np.int64)
+    for row in counted.repartition(27, "block").mapInPandas(_add, "block int, counts binary").collect():
+        total[row["block"]] += np.frombuffer(row["counts"], np.int64)
     table = total.reshape(27, 27, 27).astype(float)
     one = table.sum((0, 1)) + 1
     two = table.sum(0) + 20 * one / one.sum()
@@ -94,10 +101,10 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def decode(word: str, model: np.ndarray) -> str:
     """The likeliest letters of a lower-case word: Viterbi over its lattice; states are the last two letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (cost, path) in states.items():
             for letters, price in options:
                 x, y, total = a, b, cost + price
                 for ch in letters:
@@ -105,9 +112,14 @@ def decode(word: str, model: np.ndarray) -> str:
                     total += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in after or total > after[x, y][0]:
-                    after[x, y] = (total, text + letters)
+                    after[x, y] = (total, (path, letters))
         states = after
-    return max((cost + model[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
+    path = max(((cost + model[a, b, 0], path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])[1]
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
 
 
 def restored(text: str | None, model: np.ndarray, cache: dict[str, str]) -> set[str]:
@@ -120,17 +132,18 @@ def restored(text: str | None, model: np.ndarray, cache: dict[str, str]) -> set[
         word = cache.get(raw)
         if word is None:
             word = _TRAIL.sub("", raw)
-            if len(word) <= 40 and not (word.isalpha() and not _ODD.search(word)) and _ODD.search(word):
+            if _ODD.search(word):
                 word = decode(word, model)
+            if _MASKED.search(raw):
+                # signs at the end may stand for letters: both readings count
+                word += " " + decode(_QUOTES.sub("", raw), model)
             if len(cache) >= _CACHE_WORDS:
                 cache.clear()
             cache[raw] = word
-        out.add(word)
+        out.update(word.split(" "))
     for found in _SINGLES.finditer(low):
         letters = "".join(found.group().split())
-        for lo in range(0, len(letters), 40):
-            piece = letters[lo : lo + 60]
-            out.add(piece if piece.isalpha() else decode(piece, model))
+        out.add(letters if letters.isalpha() else decode(letters, model))
     out.discard("")
     return out
 
@@ -214,8 +227,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int, most_features: int):
-    """Letter model, feature weights (most_features at most) and the logistic function's weights; None without both labels."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int):
+    """Letter model, feature weights (as many as the bounded sample's words have) and the logistic function's weights; None without both labels."""
     model = letter_model(docs)
     learn = sample(docs, labels, "toxic", per_class).repartition(8)
     sizes = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -224,17 +237,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int, most_features: int
         return model, {}, None, float(bool(n1))
     counts = learn.mapInPandas(_feature_counts(model), "feature string, c0 long, c1 long").groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     weight = F.expr(f"log((c1 + 0.5D) / {n1 + 1}) - log((c0 + 0.5D) / {n0 + 1}) - sqrt(1 / (c1 + 0.5D) + 1 / (c0 + 0.5D))")
-    chosen = counts.where("c1 >= 2").withColumn("weight", weight).where("weight > 1").orderBy(F.desc("weight"), "feature").limit(most_features)
+    chosen = counts.where("c1 >= 2").withColumn("weight", weight).where("weight > 1")
     weights = {r["feature"]: r["weight"] for r in chosen.select("feature", "weight").collect()}
     fit = learn.select("doc_id", "y", "text").mapInPandas(_strengths(model, weights), "doc_id long, y int, " + _EVIDENCE_TYPE).toPandas()
     return model, weights, _logistic(fit[EVIDENCE].to_numpy(), fit["y"].to_numpy(float)), n1 / (n0 + n1)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4_000, most_features: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4_000, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) for every document."""
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    model, weights, w, share = train(docs, labels, per_class, most_features)
+    model, weights, w, share = train(docs, labels, per_class)
     if w is None:
         scored = docs.select("doc_id", F.lit(share).alias("score"))
     else:
