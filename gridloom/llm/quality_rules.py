@@ -117,20 +117,27 @@ def _best(x: dict[str, np.ndarray], y: np.ndarray, on: np.ndarray) -> tuple[floa
     return top
 
 
-def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, precision: float = 0.97, least: int = 3, most: int = 12, conditions: int = 4) -> list[Rule]:
-    """Ordered rules that cover the rejected rows; a rule must be right in at least `precision` of what it covers anew."""
+def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, precision: float = 0.97, least: int = 3) -> list[Rule]:
+    """Ordered rules that cover the rejected rows; a rule must be right in at least `precision` of what it covers anew.
+
+    A rule that is not precise enough ends nothing: the feature that it began with is set aside, and the next one is tried.
+    Covering ends when under `least` rejected rows are left or no feature begins a precise rule.
+    """
     rules: list[Rule] = []
     left = np.ones(reject.size, bool)
     third = np.arange(reject.size) % 3 == 2
-    while (reject & left).sum() >= least and len(rules) < most:
+    aside: set[str] = set()
+    while (reject & left).sum() >= least and len(aside) < len(x):
         rule: Rule = []
         on = left & ~third
-        while len(rule) < conditions and (on & ~reject).any():
-            _, found = _best(x, reject, on)
+        while (on & ~reject).any():
+            _, found = _best({f: v for f, v in x.items() if rule or f not in aside}, reject, on)
             if found is None:
                 break
             rule.append(found)
             on = left & ~third & _covers(rule, x)
+        if not rule:
+            break
 
         def worth(r: Rule) -> float:
             hit = left & third & _covers(r, x)
@@ -138,12 +145,14 @@ def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, precision: float =
 
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule.pop()
-        hit = left & _covers(rule, x) if rule else np.zeros_like(left)
+        hit = left & _covers(rule, x)
         good = int((reject & hit).sum())
         if good < least or good < precision * hit.sum():
-            break
+            aside.add(rule[0][0])
+            continue
         rules.append(rule)
         left &= ~hit
+        aside.clear()
     return rules
 
 
