@@ -34,7 +34,9 @@ from gridloom.llm.graph import components
 from gridloom.llm.textops import shingle_set, words
 from gridloom.llm.util import materialize, ship_package, small
 
-_BLOCK = 1 << 16
+_BLOCK = 1 << 13
+#: Documents of one set from which their group is joined by a broadcast of its representative.
+_COPIES = 1000
 _HIST_BITS = 5
 
 
@@ -71,7 +73,7 @@ def ngram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """Counters of all n-grams of all documents, by the first bits of their hash; 8 << bits bytes whatever the input."""
     parts = docs.mapInPandas(_count(n, bits), "block int, counts binary")
     table = np.zeros((max(1, (1 << bits) // _BLOCK), min(_BLOCK, 1 << bits)), np.int64)
-    for row in parts.repartition(len(table), "block").mapInPandas(_sum, "block int, counts binary").toLocalIterator():
+    for row in parts.repartition(len(table), "block").mapInPandas(_sum, "block int, counts binary").collect():
         table[row["block"]] += np.frombuffer(row["counts"], np.int64)
     return table.reshape(-1)
 
@@ -157,7 +159,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     ranks = spark.sparkContext.broadcast(ngram_counts(docs, n, sketch_bits))
     sets = materialize(docs.mapInPandas(_prefixes(n, percent, sketch_bits, ranks), "doc_id long, n long, hi long, lo long, prefix array<long>, hist array<int>"), "sets")
-    reps = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    reps = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     unique = sets.join(reps.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").withColumnRenamed("doc_id", "rep")
     hists = unique.select("rep", "hist")
 
@@ -192,8 +194,14 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
     more = _checked(rest, docs, n, percent).where("linked").select("a", "b")
     whole = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    named = reps.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "rep", F.coalesce("component", "rep").alias("component"))
-    return sets.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep_id"))
+    named = materialize(reps.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "copies", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    # groups of many copies are few: they meet their documents where these are, the others by a shuffle
+    many = named.where(F.col("copies") >= _COPIES).select("hi", "lo", F.struct("component", "rep").alias("group"))
+    mine = sets.where("n > 0").select("doc_id", "n", "hi", "lo").join(small(many, many.count(), 48), ["hi", "lo"], "left")
+    rest = mine.where("group is null").drop("group").join(named.where(F.col("copies") < _COPIES), ["hi", "lo"]).select("doc_id", "n", "component", "rep")
+    alone = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.col("doc_id").alias("rep"))
+    out = mine.where("group is not null").select("doc_id", "n", "group.component", "group.rep").union(rest).union(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("rep_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
