@@ -49,25 +49,93 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_substring_dedup(docs, none):
-    texts = {i: [w.decode() for w in words(t)] for i, t in _texts().items()}
+def _brute_windows(rows):
+    """(n_words, kept text) of each (doc_id, text): windows of 13 words that a smaller doc_id has go."""
+    texts = [(i, [w.decode() for w in words(t)]) for i, t in rows]
     first = {}
-    for i in sorted(texts):
-        for p in range(len(texts[i]) - 12):
-            first.setdefault(tuple(texts[i][p : p + 13]), i)
+    for i, w in texts:
+        for p in range(len(w) - 12):
+            key = tuple(w[p : p + 13])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in texts:
+        gone = [False] * len(w)
+        for p in range(len(w) - 12):
+            if first[tuple(w[p : p + 13])] < i:
+                gone[p : p + 13] = [True] * 13
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return sorted(out)
+
+
+def _cut_rows(df):
+    rows = df.collect()
+    assert all(r.kept_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+    return sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in rows)
+
+
+def test_substring_dedup(docs, none):
+    want = _brute_windows(_texts().items())
     for flush in (4_000_000, 40):
-        got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs, flush_windows=flush).collect()}
-        assert set(got) == set(texts)
-        for i, w in texts.items():
-            gone = [False] * len(w)
-            for p in range(len(w) - 12):
-                if first[tuple(w[p : p + 13])] < i:
-                    gone[p : p + 13] = [True] * 13
-            kept = " ".join(x for x, g in zip(w, gone) if not g)
-            assert (got[i].n_words, got[i].n_removed, got[i].text, got[i].kept_sha256) == (len(w), sum(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
+        assert _cut_rows(substring_dedup.substring_dedup(docs, flush_windows=flush)) == want
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_repeated_rows(spark):
+    """Rows that share a doc_id, with equal and with different texts, are each judged by their own words."""
+    rnd = random.Random(21)
+    p, q = _prose(40, rnd), _prose(40, rnd)
+    rows = [(1, p), (1, q), (1, "short"), (2, _prose(10, rnd) + " " + p), (2, _prose(3, rnd) + " " + q + " tail"), (2, p), (2, p), (3, q + " " + p), (3, None)]
+    assert _cut_rows(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id int, text string").repartition(3))) == _brute_windows(rows)
+
+
+def test_substring_dedup_collisions(spark):
+    """Windows whose hashes are forced to collide are compared by their words; windows of the graph are hashed to 4 bits here."""
+    rnd = random.Random(22)
+    p = _prose(30, rnd)
+    rows = [(1, _prose(30, rnd)), (2, p), (3, _prose(30, rnd)), (4, _prose(5, rnd) + " " + p), (5, _prose(14, rnd)), (6, p + " " + _prose(4, rnd))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    # rows of one text each, so that a weak hash can be put in place of the real one in the same process
+    import numpy as np
+
+    from gridloom.llm import textops
+
+    real, weak = textops.window_hashes, lambda h, k: real(h, k) & np.uint64(15)
+    k = 13
+    textops.window_hashes = weak
+    try:
+        import pandas as pd
+
+        frame = docs.toPandas()
+        packed = pd.concat(substring_dedup._ship(k, 2, 50)(iter([frame])))
+        edges = pd.concat([substring_dedup._meet(2)(part) for _, part in packed.groupby("bucket")])
+        paths = pd.concat([substring_dedup._compacted(part) for _, part in edges.groupby("bucket")])
+        held = {d: substring_dedup._Words(t) for d, t in rows}
+        walks = collections.defaultdict(list)
+        for r in paths.itertuples():
+            mark = held[r.src].digest(r.sstart, r.edges + k - 1)
+            walks[r.doc_id].append({"start": r.start, "edges": r.edges, "marks": [mark] if mark else None})
+        batch = pd.DataFrame({"doc_id": frame["doc_id"], "text": frame["text"], "walks": [walks.get(d) for d in frame["doc_id"]], "exact": None})
+        got = pd.concat(substring_dedup._cut(k, True)(iter([batch])))
+        unsure = {h for hashes in got["unsure"] for h in hashes}
+        assert unsure
+        windows = pd.concat(substring_dedup._windows(k)(iter([frame])))
+        windows = windows[windows["hash"].isin(unsure)]
+        first = windows.groupby("words")["doc_id"].min()
+        later = windows[windows["doc_id"] > windows["words"].map(first)]
+        batch["exact"] = [later[later["doc_id"] == d][["tag", "pos"]].to_dict("records") for d in frame["doc_id"]]
+        again = pd.concat(substring_dedup._cut(k, True)(iter([batch])))
+    finally:
+        textops.window_hashes = real
+    assert sorted(zip(again["doc_id"], again["n_words"], again["n_removed"], again["text"])) == _brute_windows(rows)
+
+
+def test_substring_dedup_compact():
+    import numpy as np
+
+    got = substring_dedup.compact(*(np.array(x) for x in ([7, 7, 7, 7, 8, 7], [3, 4, 5, 9, 3, 4], [1, 1, 1, 1, 1, 1], [10, 11, 12, 2, 10, 11])))
+    assert got.values.tolist() == [[7, 9, 1, 1, 2], [7, 3, 3, 1, 10], [8, 3, 1, 1, 10]]
+
+
 def _sets(n):
     out = {}
     for i, t in _texts().items():
