@@ -182,6 +182,20 @@ def bwt_encode(data: bytes) -> tuple[bytes, int]:
     return np.r_[symbols[-1:], before[:row], before[row + 1 :]].astype(np.uint8).tobytes(), row + 1
 
 
+def bwt_rows(data: bytes) -> tuple[bytes, int]:
+    """The last column of all n + 1 sorted rotations, and the row of the whole string.
+
+    That row has no byte before it and repeats the one above it. Bytes that are all equal are n + 1 times that byte, row 0.
+    """
+    if len(set(data)) <= 1:
+        return data + data[:1], 0
+    order = np.concatenate([[len(data)], suffix_array(data)])
+    row = int(np.flatnonzero(order == 0)[0])
+    last = np.frombuffer(data, np.uint8)[order - 1].copy()
+    last[row] = last[row - 1]
+    return last.tobytes(), row
+
+
 def bwt_decode(data: bytes, primary: int) -> bytes:
     n = len(data)
     if not n:

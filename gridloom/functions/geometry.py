@@ -90,6 +90,29 @@ def ilog2(v: Column, strict: bool = True) -> Column:
     return F.when(is_power_of_two(v), bit_length(v) - 1).otherwise(other)
 
 
+def power_of_two(exponent: int) -> Column:
+    """2 to the exponent, as a constant."""
+    return F.lit(1 << exponent).cast("long")
+
+
+#: Bits of the integer types.
+TYPE_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64, "float": 32, "double": 64}
+
+
+def sizeof_bits(type_name: str) -> int:
+    return TYPE_BITS[type_name]
+
+
+def compare_words(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: the order of two binary or array columns, element by element, a prefix first."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def each_combination(items: Column, f) -> Column:
+    """f(a, b) of each pair of elements of an array, a before b, in order; no join and no shuffle."""
+    return F.flatten(F.transform(items, lambda a, i: F.transform(F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), lambda b: f(a, b))))
+
+
 def int_power(base: Column, exponent: int) -> Column:
     """Whole power by squaring; 0 to the 0 is 1, overflow raises (ANSI mode)."""
     out = F.lit(1).cast("long")

@@ -71,6 +71,38 @@ def parse_filename(path: Column, strict: bool = False) -> Column:
     return F.struct(name.alias("filename"), *(rest[c].alias(c) for c in ("sfc", "compression", "bwt", "bitshuffle")))
 
 
+#: The labels of the older result files, by extension, in the order in which they are looked for.
+LEGACY_CURVES = {"mrtn": "Z-Order", "gry": "Gray", "hbrt": "Hilbert"}
+LEGACY_CODECS = {"gz": "GZIP", "bz2": "BZIP2", "hff": "HUFFMAN", "lz4": "LZ4", "lz77": "LZ77", "lzo": "LZO", "lzw": "LZW", "rle": "RLE"}
+LEGACY_BWT = {"LZ77": "BWT77", "LZW": "BWTW", "LZ4": "BWT4"}
+#: Curve labels of block-entropy files.
+ENTROPY_CURVES = {"gry": "Gray", "hbrt": "Hilbert", "mrtn": "Morton"}
+
+
+def _first_of(tokens: Column, labels: dict[str, str], other: str) -> Column:
+    return F.coalesce(*(F.when(F.array_contains(tokens, t), label) for t, label in labels.items()), F.lit(other))
+
+
+def parse_legacy(path: Column) -> Column:
+    """struct(filename, sfc, compression, bwt, bitshuffle) with the older labels; a name without an sfcc part raises."""
+    parts = F.split(F.element_at(F.split(path, "/"), -1), "\\.")
+    at = F.array_position(parts, "sfcc").cast("int")
+    rest = F.slice(parts, at + 1, F.size(parts))
+    bwt, codec = F.array_contains(rest, "bwt"), _first_of(rest, LEGACY_CODECS, "None")
+    named = F.when(bwt, F.coalesce(F.try_element_at(_map(LEGACY_BWT), codec), codec)).otherwise(codec)
+    out = F.struct(F.array_join(F.slice(parts, 1, at - 1), ".").alias("filename"), _first_of(rest, LEGACY_CURVES, "Raster").alias("sfc"), named.alias("compression"), bwt.alias("bwt"), F.array_contains(rest, "btr").alias("bitshuffle"))
+    return F.when(at > 0, out).otherwise(F.raise_error(F.concat(F.lit("no sfcc part: "), path)))
+
+
+def parse_entropy_name(path: Column) -> Column:
+    """struct(name, sfc, bittransposed, bwt) of a block-entropy file; the second part is skipped, two curves give NULL."""
+    parts = F.split(F.element_at(F.split(path, "/"), -1), "\\.")
+    rest = F.slice(parts, 3, F.size(parts))
+    found = F.filter(rest, lambda t: t.isin(list(ENTROPY_CURVES)))
+    label = F.when(F.size(found) == 0, "Raster").when(F.size(found) == 1, _map(ENTROPY_CURVES)[F.get(found, 0)]).otherwise("NULL")
+    return F.struct(F.get(parts, 0).alias("name"), label.alias("sfc"), F.array_contains(rest, "btr").alias("bittransposed"), F.array_contains(rest, "bwt").alias("bwt"))
+
+
 def parse_command(command: Column) -> Column:
     """As parse_filename for a command line: the last argument is the file, known other arguments override its tokens."""
     args = F.filter(F.split(F.trim(command), "\\s+"), lambda a: a != "")

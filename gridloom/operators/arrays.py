@@ -37,10 +37,12 @@ def bit_planes(df: DataFrame, value: str, position: str, width: int) -> DataFram
     A block that is not full keeps its values elsewhere: rows at and after the last full block are left out, see
     `plane_tail`.
     """
-    whole = df.select(F.col(value).cast("long").alias("v"), F.expr(f"{position} div {width}").alias("block"), F.expr(f"cast({position} % {width} as int)").alias("at"))
-    full = whole.join(whole.groupBy("block").agg(F.count("*").alias("c")).where(F.col("c") == width).select("block"), "block", "left_semi")
-    bits = full.select("block", "at", F.posexplode(F.expr(f"transform(sequence(0, {width - 1}), b -> shiftright(v, b) & 1L)")).alias("plane", "bit"))
-    return bits.groupBy("plane", "block").agg(F.sum(F.call_function("shiftleft", F.col("bit"), F.col("at"))).alias("word"))
+    at = F.expr(f"cast({position} % {width} as int)")
+    whole = df.select(F.col(value).cast("long").alias("v"), F.expr(f"{position} div {width}").alias("block"), at.alias("at"))
+    # one group for each block gives all its planes: rows are summed where they are before anything is shuffled
+    words = [F.sum(F.expr(f"shiftleft(shiftright(v, {b}) & 1L, at)")).alias(f"p{b}") for b in range(width)]
+    full = whole.groupBy("block").agg(F.count("*").alias("c"), *words).where(F.col("c") == width)
+    return full.select("block", F.posexplode(F.array(*(f"p{b}" for b in range(width)))).alias("plane", "word")).select("plane", "block", "word")
 
 
 def plane_tail(df: DataFrame, position: str, width: int, total: int) -> DataFrame:
@@ -50,8 +52,9 @@ def plane_tail(df: DataFrame, position: str, width: int, total: int) -> DataFram
 
 def unplane(planes: DataFrame, width: int) -> DataFrame:
     """(pos, value): inverse of bit_planes."""
-    bits = planes.select("plane", "block", F.posexplode(F.expr(f"transform(sequence(0, {width - 1}), b -> shiftright(word, b) & 1L)")).alias("at", "bit"))
-    return bits.groupBy((F.col("block") * width + F.col("at")).alias("pos")).agg(F.sum(F.call_function("shiftleft", F.col("bit"), F.col("plane"))).alias("value"))
+    values = [F.sum(F.expr(f"shiftleft(shiftright(word, {at}) & 1L, plane)")).alias(f"v{at}") for at in range(width)]
+    full = planes.groupBy("block").agg(*values)
+    return full.select("block", F.posexplode(F.array(*(f"v{at}" for at in range(width)))).alias("at", "value")).select((F.col("block") * width + F.col("at")).alias("pos"), "value")
 
 
 # -- packed payloads -------------------------------------------------------------------------------------------------
@@ -96,27 +99,44 @@ def _np_hilbert(coords: np.ndarray, k: int) -> np.ndarray:
     return _np_interleave((v ^ t)[::-1], k)
 
 
-@lru_cache(maxsize=32)
-def permutation(name: str, k: int, n: int) -> np.ndarray:
-    """Curve distance of each cell in raster order."""
-    side = 1 << k
-    ids = np.arange(side**n, dtype=np.int64)
-    coords = np.stack([(ids // side**i) % side for i in range(n)])
-    key = curves.ALIASES.get(name.lower(), name.lower())
+def distances(name: str, coords: np.ndarray, k: int) -> np.ndarray:
+    """Curve distances of coordinates, one row for each axis."""
+    n, key = len(coords), curves.ALIASES.get(name.lower(), name.lower())
     if key == "raster":
-        return ids
+        return sum(c << (k * i) for i, c in enumerate(coords))
     if key == "hilbert":
         return _np_hilbert2(coords[0], coords[1], k) if n == 2 else _np_hilbert(coords, k)
     m = _np_interleave(coords, k)
-    if key == "morton":
-        return m
     if key == "gray":
         return m ^ (m >> 1)
     if key == "gray_canonical":
         for s in (32, 16, 8, 4, 2, 1):
             m = m ^ (m >> s)
-        return m
-    raise ValueError(f"unsupported curve: {name}")
+    elif key != "morton":
+        raise ValueError(f"unsupported curve: {name}")
+    return m
+
+
+def _np_hilbert2_inverse(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.zeros_like(d), np.zeros_like(d)
+    for b in range(k):
+        pair, side = (d >> (2 * b)) & 3, np.int64(1 << b)
+        rx = pair >> 1
+        ry = (pair & 1) ^ rx
+        turned = (ry == 0) & (rx == 1)
+        x, y = np.where(turned, side - 1 - x, x), np.where(turned, side - 1 - y, y)
+        x, y = np.where(ry == 0, y, x), np.where(ry == 0, x, y)
+        x, y = x + side * rx, y + side * ry
+    return x, y
+
+
+@lru_cache(maxsize=32)
+def permutation(name: str, k: int, n: int) -> np.ndarray:
+    """Curve distance of each cell in raster order."""
+    side = 1 << k
+    ids = np.arange(side**n, dtype=np.int64)
+    coords = np.stack([(ids // side**i) % side for i in range(n)])
+    return distances(name, coords, k)
 
 
 def reorder_payload(payload: bytes, width: int, k: int, n: int, source: str, target: str) -> bytes:
@@ -149,18 +169,33 @@ def planes_payload(payload: bytes, width: int, inverse: bool = False) -> bytes:
 
 
 def with_distance(df: DataFrame, name: str, coords: list[str], k: int, out: str = "d") -> DataFrame:
-    """df with the curve distance. Hilbert beyond two dimensions is computed by numpy in Arrow batches, which is faster
-    than the interpreted expression; the expression (curves.to_distance) stays for plans that filter on the key."""
-    if curves.ALIASES.get(name.lower(), name.lower()) != "hilbert" or len(coords) == 2:
+    """df with the curve distance. Hilbert keys are computed by numpy in Arrow batches, which is faster than the interpreted
+    expression; the expression (curves.to_distance) stays for plans that filter on the key."""
+    if curves.ALIASES.get(name.lower(), name.lower()) != "hilbert":
         return df.withColumn(out, curves.curve(name).forward([F.col(c) for c in coords], k))
 
     @F.pandas_udf("long")
     def distance(*axes: pd.Series) -> pd.Series:
-        return pd.Series(_np_hilbert(np.stack([a.to_numpy(np.int64) for a in axes]), k))
+        at = np.stack([a.to_numpy(np.int64) for a in axes])
+        return pd.Series(_np_hilbert2(at[0], at[1], k) if len(at) == 2 else _np_hilbert(at, k))
 
     return df.withColumn(out, distance(*coords))
 
 
+def with_coords(df: DataFrame, name: str, distance: str, axes: list[str], k: int) -> DataFrame:
+    """df with the coordinates of a curve distance; the 2-D Hilbert curve by numpy in Arrow batches, others as expressions."""
+    if curves.ALIASES.get(name.lower(), name.lower()) != "hilbert" or len(axes) != 2:
+        back = curves.curve(name).inverse(F.col(distance), k, len(axes))
+        return df.select("*", *(c.alias(a) for a, c in zip(axes, back, strict=True)))
+
+    @F.pandas_udf("x long, y long")
+    def coords(d: pd.Series) -> pd.DataFrame:
+        x, y = _np_hilbert2_inverse(d.to_numpy(np.int64), k)
+        return pd.DataFrame({"x": x, "y": y})
+
+    return df.withColumn("_at", coords(distance)).select(*df.columns, *(F.col(f"_at.{c}").alias(a) for c, a in zip("xy", axes, strict=True)))
+
+
 def map_payload(df: DataFrame, column: str, change) -> DataFrame:
     """df with a payload column changed by bytes -> bytes, in Arrow batches; no shuffle."""
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import curves, geometry, names
 from gridloom.operators import arrays, coding, intervals, metrics, statistics
-from gridloom.plans import experiment
-from gridloom.sources import arrayfile
+from gridloom.plans import experiment, surface
+from gridloom.sources import arrayfile, logs
 from gridloom.streaming.windows import cell_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,7 @@ def _inverse(name: str, n: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         d = (F.col("l_orderkey") * 31 + F.col("l_partkey")) % (1 << (16 if n == 2 else 18))
         ids = _table(spark, sf, "lineitem").select(d.alias("d"))
-        back = curves.curve(name).inverse(F.col("d"), K2 if n == 2 else K3, n)
-        return ids.select("d", *(c.alias(a) for a, c in zip(["x", "y", "z"], back, strict=False)))
+        return arrays.with_coords(ids, name, "d", ["x", "y", "z"][:n], K2 if n == 2 else K3)
 
     return run
 
@@ -200,17 +199,23 @@ def rle_runs_capped(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def bitplane_events(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.bit_planes(_events(spark, sf), "v", "event_id", 16)
+    """Planes of full blocks; the tail's values pass through as plane -1."""
+    events = _events(spark, sf)
+    tail = arrays.plane_tail(events, "event_id", 16, events.count())
+    return arrays.bit_planes(events, "v", "event_id", 16).unionByName(tail.select(F.lit(-1).alias("plane"), F.col("event_id").alias("block"), F.col("v").alias("word")))
 
 
 @_query
 def bitplane_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.unplane(arrays.bit_planes(_events(spark, sf), "v", "event_id", 16), 16)
+    events = _events(spark, sf)
+    tail = arrays.plane_tail(events, "event_id", 16, events.count())
+    return arrays.unplane(arrays.bit_planes(events, "v", "event_id", 16), 16).unionByName(tail.select(F.col("event_id").alias("pos"), F.col("v").alias("value")))
 
 
 @_query
 def reorder_morton_to_hilbert(spark: SparkSession, sf: str) -> DataFrame:
-    cells = _events(spark, sf).where("event_id < 4096").select(F.col("event_id").alias("pos"), "v")
+    """Every 4,096 events are an array; cells of the last, short one move like the others."""
+    cells = _events(spark, sf).select(F.expr("event_id div 4096").alias("a"), (F.col("event_id") % 4096).alias("pos"), "v")
     return arrays.reorder_cells(cells, "pos", "morton", "hilbert", 6)
 
 
@@ -248,7 +253,7 @@ def codec_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def huffman_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.histogram(statistics.text_bytes(_table(spark, sf, "nation").where("n_nationkey >= 0"), "n_name", ["n_nationkey"]), "byte", ["n_nationkey"])
+    return statistics.histogram(statistics.text_bytes(_table(spark, sf, "documents"), "text", ["doc_id"]), "byte", ["doc_id"])
 
 
 @_query
@@ -258,10 +263,12 @@ def block_pipeline_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _array_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrays of 32 by 32 two-byte words from consecutive events."""
+    """Arrays of 32 by 32 two-byte words from all events, 1,024 in each."""
     ordered = F.array_sort(F.collect_list(F.struct("event_id", "v")))
     pair = lambda r: F.concat(F.lpad(F.hex(r["v"].bitwiseAND(F.lit(255).cast("long"))), 2, "0"), F.lpad(F.hex(F.shiftright(r["v"], 8).bitwiseAND(F.lit(255).cast("long"))), 2, "0"))
-    grouped = _events(spark, sf).groupBy(F.expr("event_id div 1024").alias("a")).agg(ordered.alias("r")).where("size(r) = 1024")
+    grouped = _events(spark, sf).groupBy(F.expr("event_id div 1024").alias("a")).agg(ordered.alias("r"))
+    # the last array is filled up with zeros
+    grouped = grouped.withColumn("r", F.expr("concat(r, array_repeat(named_struct('event_id', -1L, 'v', 0L), 1024 - size(r)))"))
     return grouped.select(F.concat(F.lit("array-"), F.col("a")).alias("path"), *(F.lit(v).alias(c) for c, v in (("ndims", 2), ("k", 5), ("dtype_nbytes", 2), ("sfctype", 0), ("bittransposed", False), ("compression", 0))), F.lit(None).cast("int").alias("npaddingbits"), F.unhex(F.array_join(F.transform("r", pair), "")).alias("payload"))
 
 
@@ -359,3 +366,12 @@ def config_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 def events_cell_windows(spark: SparkSession, sf: str) -> DataFrame:
     events = _table(spark, sf, "events").select("ts", (F.col("user_id") % 64).alias("x"), (F.col("event_id") % 64).alias("y"))
     return cell_counts(events, "ts", ["x", "y"], 6, 6, "1 day")
+
+
+@_query
+def metric_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A metric under the headings of its file."""
+    return logs.metric_lines(metrics.metric(spark, "clusters", "hilbert", 4).withColumn("normalised", F.round("normalised", 9)), "clusters")
+
+
+QUERIES |= surface.QUERIES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import names
@@ -85,12 +85,16 @@ def config_matrix(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def valid_configs(spark: SparkSession) -> DataFrame:
-    """The 104 valid configurations with short name and the name of the configuration that each runs on."""
+    """The 104 valid configurations with short name and the name of the configuration that each runs on.
+
+    External codecs run on the same configuration without codec, all others on the original file; the original has no parent.
+    """
     both = F.array(F.lit(False), F.lit(True))
     every = spark.range(1).select(F.explode(F.array(*map(F.lit, names.SFC_EXTENSIONS))).alias("sfc")).select("*", F.explode(F.array(*map(F.lit, names.COMPRESSION_EXTENSIONS))).alias("compression")).select("*", F.explode(both).alias("bwt")).select("*", F.explode(both).alias("bitshuffle"))
     valid = every.where(names.is_valid(F.col("compression"), F.col("bwt")))
     columns = [F.col(c) for c in ("sfc", "compression", "bwt", "bitshuffle")]
-    parent = names.short_name(F.col("sfc"), F.when(names.is_external(F.col("compression")), "none").otherwise(F.col("compression")), F.col("bwt"), F.col("bitshuffle"))
+    stored = names.short_name(F.col("sfc"), F.lit("none"), F.col("bwt"), F.col("bitshuffle"))
+    parent = F.when(names.is_external(F.col("compression")), stored).when(~names.is_original(*columns), names.short_name(F.lit("raster"), F.lit("none"), F.lit(False), F.lit(False)))
     return valid.select(*columns, names.short_name(*columns).alias("name"), parent.alias("parent")).dropDuplicates(["name"])
 
 
@@ -102,10 +106,25 @@ def expected_counts(results: DataFrame, configs: DataFrame) -> DataFrame:
 
 def summary(results: DataFrame) -> DataFrame:
     """Counts by curve, codec, bit planes, Burrows-Wheeler, file, and whole configuration, in one pass."""
-    results.createOrReplaceTempView("_gridloom_results")
-    return results.sparkSession.sql("""
-        SELECT sfc, compression, bitshuffle, bwt, filename, count(*) AS n FROM _gridloom_results
-        GROUP BY GROUPING SETS ((sfc), (compression), (bitshuffle), (bwt), (filename), (sfc, compression, bwt, bitshuffle))""")
+    whole = ["sfc", "compression", "bwt", "bitshuffle"]
+    sets = [["sfc"], ["compression"], ["bitshuffle"], ["bwt"], ["filename"], whole]
+    columns = [F.col(c) for c in ("sfc", "compression", "bitshuffle", "bwt", "filename")]
+    grouped = results.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
+    return grouped.agg(F.count("*").alias("n"))
+
+
+def preloaded(spark: SparkSession) -> DataFrame:
+    """The configurations with bit planes that an experiment must have, before any file is counted."""
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, names.SFC_EXTENSIONS))).alias("sfc")).select("*", F.explode(F.array(*map(F.lit, names.COMPRESSION_EXTENSIONS))).alias("compression"))
+    every = rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("bwt"), F.lit(True).alias("bitshuffle"))
+    return every.where(~F.col("bwt") | F.col("compression").isin("lz4", "lz77", "lzw"))
+
+
+def relative_to_base(results: DataFrame, measure: str) -> DataFrame:
+    """Each run's measure beyond that of its group's run without codec, by a window instead of a join."""
+    w = Window.partitionBy("filename", "sfc", "bwt", "bitshuffle")
+    base = F.max(F.when(F.col("compression") == "none", F.col(measure))).over(w)
+    return results.withColumn(f"relative_{measure}", F.col(measure) - base)
 
 
 def anomalies(results: DataFrame, expected: int = EXPECTED_FILES) -> DataFrame:

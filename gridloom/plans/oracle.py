@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gridloom.plans import surface
+
 _G2 = "(SELECT l_partkey % 256 AS x, l_suppkey % 256 AS y FROM lineitem)"
 _G3 = "(SELECT l_partkey % 64 AS x, l_suppkey % 64 AS y, CAST(l_quantity AS BIGINT) % 64 AS z FROM lineitem)"
 _EV = "(SELECT event_id, event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
@@ -151,7 +153,8 @@ _SUMMED = f"""(SELECT r.filename, r.sfc, r.compression, r.bwt, r.bitshuffle, r.s
  CASE WHEN r.compression IN ('gzip', 'bzip2', 'lz4', 'lzo') THEN r.runtime_compress + b.runtime_compress ELSE r.runtime_compress END AS runtime_compress,
  CASE WHEN r.compression IN ('gzip', 'bzip2', 'lz4', 'lzo') THEN r.runtime_decompress + b.runtime_decompress ELSE r.runtime_decompress END AS runtime_decompress
  FROM {_RUNS} r LEFT JOIN {_RUNS} b ON b.compression = 'none' AND b.filename = r.filename AND b.sfc = r.sfc AND b.bwt = r.bwt AND b.bitshuffle = r.bitshuffle)"""
-_FULL = "(SELECT event_id // 1024 AS a FROM events GROUP BY 1 HAVING count(*) = 1024)"
+_FULL = "(SELECT DISTINCT event_id // 1024 AS a FROM events)"
+_TAIL = f"(SELECT event_id, v FROM {_EV} WHERE event_id >= (SELECT count(*) - count(*) % 16 FROM events))"
 _PLANES = f"(SELECT event_id, event_id // 16 AS block, v FROM {_EV} WHERE event_id // 16 IN (SELECT event_id // 16 FROM events GROUP BY 1 HAVING count(*) = 16))"
 
 
@@ -184,19 +187,19 @@ def oracle_sql() -> dict[str, str]:
     out["block_entropy"] = _entropy("block", "event_id // 1000 AS block")
     out["rle_runs"] = "WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM c) SELECT user_id, event_type, min(event_id) AS start, count(*) AS n FROM g GROUP BY user_id, g, event_type"
     out["rle_runs_capped"] = "WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey), p AS (SELECT l_suppkey, n, unnest(range(0, (n - 1) // 40 + 1)) AS piece FROM s) SELECT l_suppkey, CAST(piece AS INT) AS piece, least(40, n - piece * 40) AS n FROM p"
-    out["bitplane_events"] = f"SELECT CAST(b.range AS INT) AS plane, block, CAST(sum(((v >> b.range) & 1) << (event_id % 16)) AS BIGINT) AS word FROM {_PLANES}, range(16) b GROUP BY ALL"
-    out["bitplane_inverse"] = f"SELECT event_id AS pos, v & 65535 AS value FROM {_PLANES}"
-    moved = forward("hilbert", inverse("morton", f"(SELECT event_id AS d, v FROM {_EV} WHERE event_id < 4096)", 2, 6).replace("SELECT *, d AS m", "SELECT * EXCLUDE (d), d AS m"), 2, 6)
-    out["reorder_morton_to_hilbert"] = f"SELECT d AS pos, v FROM {moved}"
+    out["bitplane_events"] = f"SELECT CAST(b.range AS INT) AS plane, block, CAST(sum(((v >> b.range) & 1) << (event_id % 16)) AS BIGINT) AS word FROM {_PLANES}, range(16) b GROUP BY ALL UNION ALL SELECT -1, event_id, v FROM {_TAIL}"
+    out["bitplane_inverse"] = f"SELECT event_id AS pos, v & 65535 AS value FROM {_PLANES} UNION ALL SELECT event_id, v FROM {_TAIL}"
+    moved = forward("hilbert", inverse("morton", f"(SELECT event_id // 4096 AS a, event_id % 4096 AS d, v FROM {_EV})", 2, 6).replace("SELECT *, d AS m", "SELECT * EXCLUDE (d), d AS m"), 2, 6)
+    out["reorder_morton_to_hilbert"] = f"SELECT a, d AS pos, v FROM {moved}"
     out["reorder_layout_checksum"] = f"SELECT count(*) AS n, CAST(sum(d) AS BIGINT) AS sum_d, max(d) AS max_d, CAST(sum(d * x) AS BIGINT) AS sum_dx FROM {forward('morton', _G2, 2, 8)}"
     for codec in ("rle", "huffman", "lz77", "lzw", "bwt", "bzip_lz77", "bzip_lzw", "gzip", "bzip2"):
         out[f"roundtrip_{codec}"] = "SELECT doc_id, CAST(octet_length(encode(text)) + octet_length(encode(text)) % 2 AS BIGINT) AS n_bytes, true AS ok FROM documents"
-    out["huffman_freq"] = "SELECT n_nationkey, byte, count(*) AS n FROM (SELECT n_nationkey, ascii(unnest(string_split(n_name, ''))) AS byte FROM nation) GROUP BY ALL"
+    out["huffman_freq"] = "SELECT doc_id, byte, count(*) AS n FROM (SELECT doc_id, CAST((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1 AS INT) AS byte FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)) GROUP BY ALL"
     out["array_pipeline"] = f"SELECT 'array-' || a AS path, CAST(2048 AS BIGINT) AS n_bytes, true AS ok FROM {_FULL}"
     out["array_headers"] = f"SELECT 'array-' || a AS path, 2 AS ndims, 5 AS k, 2 AS dtype_nbytes, 'ROW_MAJOR' AS sfc, false AS bittransposed, 'NONE' AS compression, CAST(2048 AS BIGINT) AS payload_bytes, true AS consistent FROM {_FULL}"
     out["array_tiles"] = "SELECT count(*) AS tiles, CAST(sum(a.range) AS BIGINT) AS s0, CAST(sum(b.range) AS BIGINT) AS s1, CAST(sum(c.range) AS BIGINT) AS s2 FROM range(0, 896, 128) a, range(0, 3968, 128) b, range(0, 416, 128) c"
     out["config_matrix"] = "SELECT 'tile' || n_nationkey AS filename, sfc, codec, bitshuffle FROM nation, (VALUES ('raster'), ('morton'), ('gray'), ('hilbert')) s(sfc), (VALUES ('none'), ('rle'), ('huffman'), ('lz77'), ('lzw'), ('bwt'), ('bzip_lz77'), ('bzip_lzw')) c(codec), (VALUES (false), (true)) t(bitshuffle)"
-    out["valid_configs"] = f"SELECT sfc, compression, bwt, bitshuffle, name, CASE WHEN compression IN ('gzip', 'bzip2', 'lz4', 'lzo') THEN concat_ws('-', sfc, 'none', CASE WHEN bwt THEN 'bwt' END, CASE WHEN bitshuffle THEN 'btr' END) ELSE name END AS parent FROM {_CONFIGS}"
+    out["valid_configs"] = f"SELECT sfc, compression, bwt, bitshuffle, name, CASE WHEN compression IN ('gzip', 'bzip2', 'lz4', 'lzo') THEN concat_ws('-', sfc, 'none', CASE WHEN bwt THEN 'bwt' END, CASE WHEN bitshuffle THEN 'btr' END) WHEN name <> 'raster-none' THEN 'raster-none' END AS parent FROM {_CONFIGS}"
     out["parse_filename"] = "SELECT p_partkey, 'tile' || p_partkey AS filename, (['raster', 'morton', 'gray', 'hilbert'])[p_partkey % 4 + 1] AS sfc, (['none', 'rle', 'huffman', 'lzw', 'gzip'])[p_partkey % 5 + 1] AS compression, p_partkey % 5 = 3 AS bwt, p_partkey % 3 = 1 AS bitshuffle FROM part"
     out["runs_joined"] = f"SELECT * FROM {_RUNS}"
     out["runs_external_sum"] = f"SELECT * FROM {_SUMMED}"
@@ -207,4 +210,6 @@ def oracle_sql() -> dict[str, str]:
     out["config_summary"] = f"SELECT sfc, compression, bitshuffle, bwt, filename, count(*) AS n FROM {_RUNS} GROUP BY GROUPING SETS ((sfc), (compression), (bitshuffle), (bwt), (filename), (sfc, compression, bwt, bitshuffle))"
     out["config_anomalies"] = f"SELECT sfc, compression, bwt, bitshuffle, count(*) AS n FROM {_RUNS} WHERE NOT (sfc = 'gray' AND filename = 'tile3') GROUP BY ALL HAVING count(*) <> 25"
     out["events_cell_windows"] = f"SELECT date_trunc('day', ts) AS start, {_weave(['(user_id % 64)', '(event_id % 64)'], 6)} >> 6 AS cell, count(*) AS n FROM events GROUP BY ALL"
-    return out
+    out["metric_file"] = f'SELECT key AS "Clusters", regions AS "Regions", normalised AS "Normalised" FROM ({out["metric_clusters_hilbert"]})'
+    out["sql_walks"] = f"SELECT *, d AS back FROM ({out['curve_walk']})"
+    return out | surface.SQL

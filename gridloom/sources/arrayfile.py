@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import posixpath
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,26 +109,31 @@ def plain_name(path: str) -> str:
 
 
 def write_arrays(arrays: DataFrame, folder: str) -> DataFrame:
-    """Writes each row as a file of its path's base name through Hadoop's file systems; gives path and bytes written.
+    """Writes each row as a file of its path's base name in a folder that all executors reach; gives path and bytes written.
 
-    Parquet is the format for tables; this is for handing files back, so rows go through the driver one at a time and
-    only one payload is in memory.
+    Tasks write their own rows through Arrow's file systems; only paths and sizes come back. A file is written under a
+    name of its attempt and then renamed, so a task that runs again leaves whole files.
     """
-    spark = arrays.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    done = []
-    for row in arrays.toLocalIterator():
-        data = pack_header(row["ndims"], row["k"], row["dtype_nbytes"], row["sfctype"], row["bittransposed"], row["compression"], row["npaddingbits"]) + bytes(row["payload"])
-        to = posixpath.join(folder, posixpath.basename(row["path"]))
-        at = jvm.org.apache.hadoop.fs.Path(to)
-        stream = at.getFileSystem(conf).create(at, True)
-        try:
-            stream.write(bytearray(data))
-        finally:
-            stream.close()
-        done.append((to, len(data)))
-    return spark.createDataFrame(done, "path string, bytes long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + posixpath.abspath(folder))
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            done = []
+            for row in batch.itertuples():
+                used = None if pd.isna(row.npaddingbits) else int(row.npaddingbits)
+                data = pack_header(row.ndims, row.k, row.dtype_nbytes, row.sfctype, row.bittransposed, row.compression, used) + bytes(row.payload)
+                name = posixpath.basename(row.path)
+                part = posixpath.join(root, f".{name}.{uuid.uuid4().hex}")
+                with fs.open_output_stream(part) as out:
+                    out.write(data)
+                fs.move(part, posixpath.join(root, name))
+                done.append((posixpath.join(folder, name), len(data)))
+            yield pd.DataFrame(done, columns=["path", "bytes"])
+
+    # written now, once; the result holds the list only
+    done = arrays.mapInPandas(run, "path string, bytes long").collect()
+    return arrays.sparkSession.createDataFrame(done, "path string, bytes long")
 
 
 def tiles(cells: DataFrame, axes: list[str], side: int) -> DataFrame:

@@ -90,3 +90,11 @@ def test_errors():
         C.rle_encode(b"abc", 3)
     with pytest.raises(ValueError):
         C.mtf_decode(bytes([9]), 65, 66)
+
+
+def test_bwt_rows():
+    """Golden rows of the n + 1 form; constant and empty data."""
+    assert C.bwt_rows(b"BANANAICECREAMSUNDAY") == (b"YNENBDDIENRCAAAAUCMSA", 6)
+    turned, row = C.bwt_rows(bytes([2, 7, 1, 8, 2, 8, 1, 8, 2, 8, 4, 5, 9, 0, 1]))
+    assert list(turned) == [1, 9, 0, 7, 8, 8, 8, 8, 8, 4, 2, 2, 1, 1, 2, 5] and row == 5
+    assert C.bwt_rows(b"") == (b"", 0) and C.bwt_rows(b"aaa") == (b"aaaa", 0)

@@ -175,7 +175,7 @@ def test_experiment(spark, tmp_path):
 
 def test_metric_file(spark, tmp_path):
     to = logs.write_metric(metrics.clusters(spark, "hilbert", 3), str(tmp_path), "clusters", "hilbert", 8)
-    assert [int(r.key) for r in spark.read.csv(to, sep="\t", header=True).collect()] == [1, 2, 3, 4, 5, 6]
+    assert [int(r.Clusters) for r in spark.read.csv(to, sep="\t", header=True).collect()] == [1, 2, 3, 4, 5, 6]
 
 
 def test_streams(spark, tmp_path):
