@@ -6,12 +6,13 @@
 2. The importance of a node is the larger of the entropies of its presentations and of its contents, over the logarithm
    of the number of its occurrences: a menu that is the same on all pages is near 0, text that differs is near 1. Counts
    are grouped by host, node and value, so a host with a third of all pages is no single group.
-3. Markup decides first: scripts, styles, forms, menus, page headers, footers, sidebars, notices, adverts and reader
-   comments (by tag, role, class or id) go, and what stands in <article> or <main> stays. Branches that markup leaves open
-   (pages without such an element) are removed where the host's style tree gives them an importance under `least`.
-   Nodes seen on fewer than `pages` pages of the host are kept: there is no evidence against them.
+3. What markup says is a prior on importance: scripts, styles, forms, menus, page headers, footers, sidebars, notices, adverts
+   and reader comments (by tag, role, class or id) have none, nor has what stands outside <article> or <main> where a page has
+   one. Of all other branches, inside the article too, those go to which the host's style tree gives an importance under `least`.
+   Nodes seen fewer than `seen` times on the host are kept: there is no evidence against them. Pages of equal text
+   count once, so that copies of an article do not make it look like a menu.
 
-Text: character references decoded, white space inside a block one space, blocks joined by one newline in page order.
+Each page is parsed once; the rest is DataFrame functions. Text: character references decoded, white space inside a block one space, blocks joined by one newline in page order.
 Null and empty html gives "" and 0; a null url counts as a host of its own. Rows that repeat each return a row.
 """
 
@@ -183,12 +184,10 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str, str]]]:
     return blocks, nodes
 
 
-def chosen(blocks: list[Block]) -> tuple[list[Block], bool]:
-    """The blocks that markup leaves, and whether it marks the main part itself."""
+def chosen(blocks: list[Block]) -> list[Block]:
+    """The blocks that markup leaves to the style tree: those of the main part where it is marked, else all but noise."""
     inside = [b for b in blocks if b.main and not b.noise]
-    if inside:
-        return inside, True
-    return [b for b in blocks if not b.noise], False
+    return inside or [b for b in blocks if not b.noise]
 
 
 def host_of(url: str | None) -> str:
@@ -200,41 +199,40 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _tree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PARSED = "page_id long, url string, host string, page long, texts array<string>, paths array<long>, nodes array<struct<path: bigint, kind: int, value: bigint>>"
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
             blocks, nodes = parse(page)
-            left, decided = chosen(blocks)
-            open_ = set() if decided else {b.path for b in left}
-            host = host_of(url)
-            for path, styles, text in nodes:
-                rows.append((page_id, host, _digest(path), 0, _digest(styles), path in open_))
-                if text:
-                    rows.append((page_id, host, _digest(path), 1, _digest(text), path in open_))
-        yield pd.DataFrame(rows, columns=["page_id", "host", "path", "kind", "value", "open"])
+            left = chosen(blocks)
+            at = {path: _digest(path) for path in {n[0] for n in nodes} | {b.path for b in left}}
+            values = [(at[path], kind, _digest(value)) for path, styles, text in nodes for kind, value in ((0, styles), (1, text)) if value or not kind]
+            rows.append((page_id, url, host_of(url), _digest("\n".join(b.text for b in blocks)), [b.text for b in left], [at[b.path] for b in left], values))
+        yield pd.DataFrame(rows, columns=["page_id", "url", "host", "page", "texts", "paths", "nodes"])
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = []
-        for page, low in zip(batch["html"], batch["low"], strict=True):
-            left, decided = chosen(parse(page)[0])
-            gone = set() if decided or low is None else set(low)
-            texts.append("\n".join(b.text for b in left if not gone or _digest(b.path) not in gone))
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+def parsed(pages: DataFrame) -> DataFrame:
+    """Each page, parsed once: the blocks that markup leaves, their nodes, and all nodes' presentations (0) and contents (1)."""
+    ship_package(pages.sparkSession)
+    return pages.select("page_id", "url", "html").mapInPandas(_parse, _PARSED)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(page_id, host, path, kind, value, open): one row for each block element's presentation (0) and content (1)."""
-    ship_package(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInPandas(_tree, "page_id long, host string, path long, kind int, value long, open boolean")
+    """(host, path, kind, value, c): how often each presentation and content occurs; pages of equal text count once a host."""
+    nodes = pages.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.*")
+    # of pages that repeat, every node has the same values as often: the counts of one are those of all over their number
+    copies = pages.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1")
+    counted = nodes.groupBy("host", "page", "path", "kind", "value").agg(F.count("*").alias("c"))
+    met = counted.join(copies, ["host", "page"], "left").withColumn("c", F.expr("cast(ceil(c / coalesce(copies, 1)) as bigint)"))
+    return met.groupBy("host", "path", "kind", "value").agg(F.sum("c").alias("c"))
 
 
 def importance(tree: DataFrame) -> DataFrame:
     """(host, path, n, importance): n occurrences; the larger entropy of presentations and contents over log n."""
-    counts = tree.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
-    by_kind = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.expr("c * ln(c)")).alias("s"))
+    by_kind = tree.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.expr("c * ln(c)")).alias("s"))
     entropy = by_kind.withColumn("h", F.expr("if(n > 1, greatest(0D, (ln(n) - s / n) / ln(n)), 1D)"))
     return entropy.groupBy("host", "path").agg(F.max("n").alias("n"), F.max("h").alias("importance"))
 
@@ -242,9 +240,11 @@ def importance(tree: DataFrame) -> DataFrame:
 def html_extract(pages: DataFrame, least: float = 0.3, seen: int = 10) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    tree = materialize(style_tree(pages), "tree")
-    asked = tree.where("open").select("page_id", "host", "path").distinct()
-    weak = importance(tree).where(F.col("n") >= seen).where(F.col("importance") < least)
-    low = materialize(asked.join(weak, ["host", "path"]).groupBy("page_id").agg(F.collect_set("path").alias("low")), "low")
+    held = materialize(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    weak = materialize(importance(style_tree(held)).where(F.col("n") >= seen).where(F.col("importance") < least).select("host", "path"), "weak")
+    asked = held.select("row", "host", F.explode(F.array_distinct("paths")).alias("path"))
+    low = materialize(asked.join(small(weak, weak.count(), 64), ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("low")), "low")
     n, paths = low.agg(F.count("*"), F.coalesce(F.sum(F.size("low")), F.lit(0))).first()
-    return pages.join(small(low, n + paths, 16), "page_id", "left").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    judged = held.join(small(low, n + paths, 16), "row", "left")
+    left = judged.withColumn("text", F.expr("array_join(if(low is null, texts, filter(texts, (t, i) -> not array_contains(low, get(paths, i)))), '\n')"))
+    return left.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

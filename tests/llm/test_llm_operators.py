@@ -349,7 +349,7 @@ def test_html():
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="page"><header><a>Home</a></header><div id="cookie-notice">We use cookies</div>
     <nav><ul><li>menu</ul></nav><div class=sidebar>side</div><div class="content"><h1>T&eacute;st &amp; more</h1><p>One  two<br>three <b>bold</b><p>Four<ul><li>a<li>b</ul>
     <form><input><label>q</label></form><table><tr><td>x<td>y</table><div class="comments"><p>reader</div><script>if(a<b){"</p>"}</script>tail &lt; 5 a < b</div><footer>f</footer>"""
-    text = lambda p: [b.text for b in html_extract.chosen(html_extract.parse(p)[0])[0]]
+    text = lambda p: [b.text for b in html_extract.chosen(html_extract.parse(p)[0])]
     assert text(page) == ["Tést & more", "One two three bold", "Four", "a", "b", "x", "y", "tail < 5 a < b"]
     assert text("<body><div>out</div><article><header><h1>H</h1><span>by</span></header><p>A<aside>no</aside>B</article><article class=comment>c</article>") == ["H", "A", "B"]
     assert text(None) == text("") == text("<p> &nbsp; </p>") == [] and text("plain &amp; text") == ["plain & text"]
@@ -366,6 +366,18 @@ def test_style_tree(spark):
     assert html_extract.html_extract(pages.limit(0)).count() == 0
 
 
+def test_style_tree_in_articles(spark):
+    """Importance decides inside <article> too: a branch that all pages of the host share goes; copies of a page keep their text."""
+    page = "<body><article><h1>Title {0}</h1><div class=note>Read our other stories</div><p>Story {0} of the day.</article></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(40)] + [(100 + i, "http://copies.org/", page.format(7)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.html_extract(pages).collect()}
+    assert got[3] == "Title 3\nStory 3 of the day." and got[105] == "Title 7\nRead our other stories\nStory 7 of the day."
+    # without the tree the shared branch stays
+    kept = {r.page_id: r.text for r in html_extract.html_extract(pages, least=0.0).collect()}
+    assert kept[3] == "Title 3\nRead our other stories\nStory 3 of the day."
+
+
 def test_url_filter(spark):
     cases = [("http://A.Example.ORG/es/x", "example.org/es/", "block"), ("https://example.org/en/125?q", "example.org/en/1", "block"), ("http://x.org/", "org/", "allow"), ("http://x.org", None, "allow"), ("http://notexample.org/es/", "org/", "allow"), ("http://b.com/fr/1#t", "com/fr/", "allow"), ("http://com/de/", "com/de/", "block"), ("http://b.net/de/", None, "allow"), ("no scheme", None, "allow"), (None, None, "allow"), ("http://x.org/", "org/", "allow"), ("http:///fr/", None, "allow")]
     pages = spark.createDataFrame([(i, u, "e") for i, (u, *_) in enumerate(cases)], "page_id long, url string, entry string")
