@@ -221,13 +221,14 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, c): how often each presentation and content occurs; pages of equal text count once a host."""
-    nodes = pages.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.*")
-    # of pages that repeat, every node has the same values as often: the counts of one are those of all over their number
-    copies = pages.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1")
-    counted = nodes.groupBy("host", "page", "path", "kind", "value").agg(F.count("*").alias("c"))
-    met = counted.join(copies, ["host", "page"], "left").withColumn("c", F.expr("cast(ceil(c / coalesce(copies, 1)) as bigint)"))
-    return met.groupBy("host", "path", "kind", "value").agg(F.sum("c").alias("c"))
+    """(host, path, kind, value, c): how often each presentation and content occurs; of pages of equal text on a host one counts.
+
+    pages: written down, with a number `row`. Nodes are counted where they are before anything is shuffled.
+    """
+    groups = materialize(pages.groupBy("host", "page").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    copies = materialize(pages.select("row", "host", "page").join(small(groups, groups.count(), 48), ["host", "page"]).where("row <> first").select("row"), "copies")
+    nodes = pages.join(small(copies, copies.count(), 16), "row", "left_anti").select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+    return nodes.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
 
 
 def importance(tree: DataFrame) -> DataFrame:
