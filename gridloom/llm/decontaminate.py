@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.util import materialize, small
+from gridloom.llm.util import materialize, release, small
 
 SHINGLE = 5
 #: Bits by which two fingerprints may differ; three standard deviations beyond what a similarity of 0.8 makes likely.
@@ -76,6 +76,7 @@ def _shared(a: str, b: str) -> str:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity, start): each item that a document holds, with its best window's first word."""
+    release(docs.sparkSession)
     items = with_words(benchmark, "item_id").where("words[0] <> ''").withColumn("size", F.size("words")).withColumn("length", F.least("size", F.lit(SHINGLE)))
     lengths = sorted(r["length"] for r in items.select("length").distinct().limit(SHINGLE).collect())
     texts = with_words(docs, "doc_id")
@@ -102,6 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     ids = held.select("doc_id").distinct()
     few = materialize(texts.join(small(ids, held.count(), 16), "doc_id").distinct(), "few")
 
+    release(docs.sparkSession)
     windows = []
     for length in lengths:
         own = held.join(entries.where(F.col("length") == length), "item_id").select("doc_id", "item_id", "size", "hash").distinct()

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.util import free_name, materialize
+from gridloom.llm.util import free_name, materialize, release
 
 
 def _rate(*signs: str) -> str:
@@ -170,6 +170,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], ridge:
     A column rate that they have is replaced. The rate is an expression of each row's own text, so rows that repeat a
     doc_id, or have none, get the rate of their text.
     """
+    release(docs.sparkSession)
     counted = materialize(_counted(docs), "counted")
     domains, table = cell_tables(counted, labelled)
     if not domains:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
 from gridloom.llm.textops import shingle_set, words
-from gridloom.llm.util import materialize, ship_package, small
+from gridloom.llm.util import materialize, release, ship_package, small
 
 _BLOCK = 1 << 13
 #: Documents of one set from which their group is joined by a broadcast of its representative.
@@ -156,6 +156,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and rep_id (smallest doc_id with an equal set)."""
     spark = docs.sparkSession
     ship_package(spark)
+    release(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     ranks = spark.sparkContext.broadcast(ngram_counts(docs, n, sketch_bits))
     sets = materialize(docs.mapInPandas(_prefixes(n, percent, sketch_bits, ranks), "doc_id long, n long, hi long, lo long, prefix array<long>, hist array<int>"), "sets")
@@ -183,6 +184,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
     links = checked.where("linked").select("a", "b")
 
     found = components(links)
+    release(spark)
     placed = postings.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed, "placed")
     several = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")

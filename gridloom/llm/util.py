@@ -51,6 +51,11 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's collector run once, so that Spark's cleaner drops the shuffles, broadcasts and compiled plans of finished steps."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column."""
     taken = {c.lower() for c in df.columns}
