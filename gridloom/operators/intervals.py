@@ -17,12 +17,16 @@ def islands(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return runs.groupBy(*by, "run").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).drop("run")
 
 
-def merge_intervals(df: DataFrame, lo: str, hi: str, by: Sequence[str] = ()) -> DataFrame:
-    """Union of closed integer intervals, ends in any order; touching ones (hi + 1 = lo) merge."""
-    ends = df.select(*by, F.least(lo, hi).alias("lo"), F.greatest(lo, hi).alias("hi"))
-    w = Window.partitionBy(*by).orderBy("lo", "hi")
+def merge_intervals(df: DataFrame, lo: str, hi: str, by: Sequence[str] = (), as_given: bool = False) -> DataFrame:
+    """Union of closed integer intervals, ends in any order; touching ones (hi + 1 = lo) merge.
+
+    as_given: ends are not put in order, and a null end is no end instead of the other one. Nulls sort last, as in DuckDB.
+    """
+    low, high = (F.col(lo), F.col(hi)) if as_given else (F.least(lo, hi), F.greatest(lo, hi))
+    ends = df.select(*by, low.alias("lo"), high.alias("hi"))
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("lo"), F.asc_nulls_last("hi"))
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = ends.withColumn("new", F.coalesce((F.col("lo") > reach + 1).cast("int"), F.lit(1)))
+    starts = ends.withColumn("reach", reach).withColumn("new", F.when(F.expr("reach is null or lo > reach + 1"), 1).otherwise(0))
     runs = starts.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*by, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 

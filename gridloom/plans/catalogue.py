@@ -135,8 +135,8 @@ def islands_from_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def interval_merge(spark: SparkSession, sf: str) -> DataFrame:
-    spans = _table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_partkey") % 4096).alias("a"), (F.col("l_partkey") % 4096 + F.col("l_quantity").cast("long")).alias("b"))
-    return intervals.merge_intervals(spans, "a", "b", ["l_suppkey"])
+    spans = _table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_partkey") % 4096).alias("a"), (F.col("l_partkey") % 4096 + F.rint("l_quantity").cast("long")).alias("b"))
+    return intervals.merge_intervals(spans, "a", "b", ["l_suppkey"], as_given=True)
 
 
 @_query

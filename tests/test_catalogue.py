@@ -40,6 +40,16 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+def test_interval_merge_odd_rows(spark, tmp_path):
+    """Quantities with fractions, below zero and missing, keys below zero and missing: as in the SQL."""
+    rows = [(1, 10, 2.5), (1, 14, 0.5), (1, 15, 1.5), (2, 10, 3.0), (2, 13, None), (2, 14, 2.0), (2, None, 3.0), (2, 30, 1.0), (3, None, None), (3, 4, 1.0), (4, 10, -5.0), (4, 7, 1.0), (5, None, 1.0), (5, None, 2.0), (None, 3, 1.0), (None, 5, 2.0)]
+    rows += [(6, -5000, 1.0), (6, -2, 4.0), (6, 20, -30.0), (6, 25, 1.0), (7, 4, None), (7, 5, 1.0), (8, 1, None), (8, 1, 3.0), (8, 3, 2.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = duckdb.connect()
+    want.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert _rows(QUERIES["interval_merge"](spark, str(tmp_path)).toPandas()) == _rows(want.sql(SQL["interval_merge"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
