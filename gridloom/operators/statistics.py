@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,23 @@ def text_bytes(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
     """by, pos, byte: the UTF-8 bytes of a text column."""
     hexed = df.select(*by, F.hex(F.encode(text, "UTF-8")).alias("h"))
     return hexed.select(*by, F.posexplode(F.expr("transform(sequence(1, greatest(length(h), 2) - 1, 2), i -> if(h = '', null, cast(conv(substring(h, i, 2), 16, 10) as int)))")).alias("pos", "byte")).where("byte is not null")
+
+
+def byte_histogram(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
+    """by, byte, n: how often each byte is in the UTF-8 form of a text column.
+
+    Each text is counted where it is, so that only its distinct bytes become rows; equal keys are summed afterwards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                counts = np.stack([np.bincount(np.frombuffer(b or b"", np.uint8), minlength=256) for b in part.column(len(by)).to_pylist()])
+                row, byte = counts.nonzero()
+                keys = [part.column(i).take(pa.array(row)) for i in range(len(by))]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(byte.astype(np.int32)), pa.array(counts[row, byte].astype(np.int64))], names=[*by, "byte", "n"])
+
+    texts = df.select(*by, F.col(text).cast("binary"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema.fields[:-1])
+    return texts.mapInArrow(run, f"{fields}byte int, n long").groupBy(*by, "byte").agg(F.sum("n").alias("n"))

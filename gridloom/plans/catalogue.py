@@ -253,7 +253,7 @@ def codec_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def huffman_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.histogram(statistics.text_bytes(_table(spark, sf, "documents"), "text", ["doc_id"]), "byte", ["doc_id"])
+    return statistics.byte_histogram(_table(spark, sf, "documents"), "text", ["doc_id"])
 
 
 @_query

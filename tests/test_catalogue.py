@@ -50,6 +50,20 @@ def test_interval_merge_odd_rows(spark, tmp_path):
     assert _rows(QUERIES["interval_merge"](spark, str(tmp_path)).toPandas()) == _rows(want.sql(SQL["interval_merge"]).df())
 
 
+def test_huffman_freq_large_and_odd_rows(spark, tmp_path):
+    """Bytes are counted where they are, not one row for each; repeated and missing ids and texts as in the SQL."""
+    rows = [(1, "aé€😀\n\0"), (1, "a"), (2, ""), (3, None), (None, "x"), (None, "xy"), ((1 << 62) + 1, "z"), (4, "word é " * 1_000_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.connect()
+    want.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet' WHERE doc_id IS DISTINCT FROM 4")
+    out = QUERIES["huffman_freq"](spark, str(tmp_path))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r[0] is not None, *[x or 0 for x in r])
+    got = sorted(map(tuple, out.collect()), key=key)
+    small = [(4, b, 1_000_000 * b"word \xc3\xa9 ".count(b)) for b in sorted(set(b"word \xc3\xa9 "))]
+    assert got == sorted([*want.sql(SQL["huffman_freq"]).fetchall(), *small], key=key)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
