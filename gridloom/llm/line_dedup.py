@@ -7,10 +7,11 @@ Everything is DataFrame functions.
    agree as often as the lines are similar; grouping by line needs no more than one row for each line and task.
 2. A band is the minima at STEPS from its own number, so no two bands share more than one. Two lines that are alone
    in a band are a pair; in larger groups each line is first compared with the group's central line (that of most company
-   in all its bands). That connects groups of copies without a square of pairs. Then each group is sorted by its lines' other
-   minima, and each line is compared with the NEAR lines before it where they are in another component: lines that agree in much
-   more than their band stand close in some group. Groups are sorted in range partitions, so that a large one is no single
-   task. Candidates must agree in AGREE minima (neighbours in CLOSE) before their texts are fetched.
+   in all its bands), then, the group sorted by its lines' other minima, with the NEAR lines before it where they are in another
+   component. These two rounds take only pairs that agree in AGREE minima (neighbours in CLOSE); they connect most of what
+   is linked, without a square of pairs, and decide nothing. Groups are sorted in range partitions, so that a large one is no single task.
+   The last round is complete: of every group that still holds several components, all pairs of lines of different
+   components, without any cap. Sketches drop pairs before their texts are fetched, only such as cannot be linked.
 3. Each candidate pair is verified once: exact Jaccard of the sets of all character 5-grams, at least `least`.
 4. Components by contraction (graph.components). Of each component the first line stays: the smallest doc_id, there the
    first row, there the smallest line number.
@@ -40,6 +41,8 @@ GRAM = 5
 AGREE, CLOSE = 14, 17
 #: Lines before it in a sorted group that a line is compared with.
 NEAR = 64
+#: Words of 64 bits in a line's sketch, a power of two.
+WORDS = 16
 #: Columns that hold 16 bits of four minima each.
 SIGNATURE = tuple(f"s{i}" for i in range(MINIMA // 4))
 
@@ -147,8 +150,48 @@ def _neighbours(members: DataFrame, found: DataFrame, lines: DataFrame) -> DataF
     ranged = materialize(left.repartitionByRange("band", "near", "id").withColumn("run", F.spark_partition_id()), "ranged")
     before = Window.partitionBy("band", "run").orderBy("near", "id").rowsBetween(-NEAR, -1)
     met = ranged.withColumn("before", F.collect_list(F.struct("id", "component", "of")).over(before))
-    pairs = met.select("id", "component", "of", F.explode("before").alias("other")).where(f"component <> other.component and {_agree('of', 'other.of', CLOSE)}")
-    return pairs.select(*_ordered("id", "other.id")).distinct()
+    close = F.expr(f"filter(before, other -> other.component <> component and {_agree('of', 'other.of', CLOSE)})")
+    return met.select("id", F.explode(F.transform(close, lambda other: other["id"])).alias("other")).select(*_ordered("id", "other")).distinct()
+
+
+def _sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, sketch): how many 5-grams a line has, repeats too, and in WORDS words a bit for the hash of each."""
+    lines = _lines(docs).select("id", "line").join(small(ids, ids.count(), 16), "id", "left_semi").dropDuplicates(["id"])
+    coded = lines.select("id", F.expr(_encoded("line")).alias("code"))
+    hashes = coded.select("id", "code", F.explode(F.expr(_OFFSETS.format("code"))).alias("i")).select("id", F.expr(_HASH.format("code")).alias("h"))
+    words = (f"bit_or(if((shiftright(h, 6) & {WORDS - 1}) = {j}, shiftleft(1L, cast(h & 63 as int)), 0L))" for j in range(WORDS))
+    marked = hashes.groupBy("id").agg(F.count("*").alias("grams"), *(F.expr(e).alias(f"w{j}") for j, e in enumerate(words)))
+    return marked.select("id", F.struct("grams", *(f"w{j}" for j in range(WORDS))).alias("sketch"))
+
+
+def _alike(x: str, y: str, least: float) -> str:
+    """Two sketches allow the similarity `least`.
+
+    A bit that one line alone has stands for a 5-gram that it alone has; linked lines have no more of these than this share of
+    their sets' sizes, which are at most their numbers of 5-grams. So no linked pair is dropped.
+    """
+    apart = " + ".join(f"bit_count({x}.w{j} ^ {y}.w{j})" for j in range(WORDS))
+    return f"({apart}) * {1 + least}D <= ({x}.grams + {y}.grams) * {1 - least}D + 1e-6D"
+
+
+def _across(members: DataFrame, found: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(a, b): all lines of different components that share a band, but for those whose sketches show that they are not linked.
+
+    members has all groups. A group's largest component meets the others only, so a group that is one component but for
+    a few lines costs as many comparisons as these lines times the group.
+    """
+    placed = members.join(small(found, found.count(), 24), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    placed = materialize(placed, "all-placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    left = materialize(placed.join(mixed, "band", "left_semi"), "open")
+    mains = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    ids = materialize(left.select("id").distinct(), "open-ids")
+    sketches = materialize(_sketches(ids, docs), "sketches")
+    ready = materialize(left.join(mains, "band").join(sketches, "id").select("band", "id", "component", (F.col("component") == F.col("main")).alias("in_main"), "sketch"), "open-lines")
+    x = ready.where("not in_main").select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("xa"))
+    y = ready.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("xb"), "in_main")
+    near = F.expr(f"x.band = y.band and ca <> cb and (in_main or a < b) and {_alike('xa', 'xb', least)}")
+    return x.alias("x").join(y.alias("y"), near).select(*_ordered("a", "b")).distinct()
 
 
 def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -168,8 +211,15 @@ def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     found = components(checked.where("linked").select("a", "b"))
     release(docs.sparkSession)
     rest = _neighbours(members.drop("n"), found, lines).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(rest, docs, least).where("linked").select("a", "b")
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    more = _verified(rest, docs, least)
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")))
+    release(docs.sparkSession)
+    # what is not linked by now: every pair that shares a band
+    alone = groups.where("n = 2").select("band", F.explode(F.array("low", "high")).alias("id"))
+    known = checked.select("a", "b").union(more.select("a", "b"))
+    rest = _across(members.select("band", "id").union(alone), found, docs, least).join(known, ["a", "b"], "left_anti")
+    last = _verified(rest, docs, least).where("linked").select("a", "b")
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
 
 
 def _removed(rows: DataFrame, row: str, least: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -261,6 +262,35 @@ def test_line_dedup_recall(spark, kind):
     assert not got - want and len(want) > 30 and len(got) >= 0.96 * len(want)
 
 
+def test_line_dedup_every_pair_of_a_band(spark, monkeypatch):
+    """Of lines that share bands, most of them not linked with any central line, each linked pair is found, whatever the first rounds let through."""
+    monkeypatch.setattr(line_dedup, "AGREE", 24)
+    monkeypatch.setattr(line_dedup, "CLOSE", 24)
+    monkeypatch.setattr(line_dedup, "NEAR", 1)
+    rnd = random.Random(5)
+    base = _prose(40, rnd).split()
+    changed = lambda words, k: [rnd.choice(_VOCAB) if j in at else w for at in [set(rnd.sample(range(40), k))] for j, w in enumerate(words)]
+    lines = [" ".join(x) for y in (changed(base, 9) for _ in range(150)) for x in (y, changed(y, rnd.choice([2, 3, 4])))]
+    corpus = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    number = {r.id: i for i, r in reversed(list(enumerate(corpus.select(F.xxhash64("text").alias("id")).collect())))}
+    bands, grams, root = collections.defaultdict(list), [{t[p : p + 5] for p in range(len(t) - 4)} for t in lines], list(range(len(lines)))
+    for r in line_dedup._bands(line_dedup._signatures(line_dedup._lines(corpus))).select("band", "id").collect():
+        bands[r.band].append(number[r.id])
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in {tuple(sorted(p)) for group in bands.values() for p in itertools.combinations(group, 2)}:
+        if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    repeated = {i for i, t in enumerate(lines) if lines.index(t) != i}
+    want = {i for i in range(len(lines)) if find(i) != i} | repeated
+    assert {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed} == want
+
+
 def test_line_dedup_repeated_rows(spark):
     """Rows that share a doc_id: the first keeps a line, the others lose it; nothing else is lost."""
     rows = [(5, "a line that two equal rows have\nand one more line here", 1), (5, "a line that two equal rows have\nand one more line here", 1), (5, "an other text of the same id", 2), (6, "an other text of the same id", 3), (None, "a line that two equal rows have", 4)]
