@@ -512,3 +512,16 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == list(range(60)) and all(r.rate >= 0 for r in out)
+
+
+def test_pipeline_lines_whatever_the_caps(spark, monkeypatch):
+    """The stage lines removes a linked line that only the complete round can find."""
+    import corpus_pipeline
+
+    for name, value in (("AGREE", 25), ("CLOSE", 25), ("NEAR", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    base = _prose(40, random.Random(31)).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(["first", *base[1:]]), _prose(30, random.Random(32))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert _jaccard_lines(*texts[:2]) > 0.8 and _jaccard_lines(texts[0], texts[2]) > 0.8
+    assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, docs, "").collect()) == [0, 3]
