@@ -7,11 +7,11 @@ Everything is DataFrame functions.
    agree as often as the lines are similar; grouping by line needs no more than one row for each line and task.
 2. A band is the minima at STEPS from its own number, so no two bands share more than one. Two lines that are alone
    in a band are a pair; in larger groups each line is first compared with the group's central line (that of most company
-   in all its bands), then, the group sorted by its lines' other minima, with the NEAR lines before it where they are in another
+   in all its bands), then, the group sorted by its lines' other minima, with the closest of the NEAR lines before it that are in another
    component. These two rounds take only pairs that agree in AGREE minima (neighbours in CLOSE); they connect most of what
    is linked, without a square of pairs, and decide nothing. Groups are sorted in range partitions, so that a large one is no single task.
    The last round is complete: of every group that still holds several components, all pairs of lines of different
-   components, without any cap. Sketches drop pairs before their texts are fetched, only such as cannot be linked.
+   components, without any cap. Sketches, then 16-bit hashes of the 5-grams, drop pairs in the join, only such as cannot be linked.
 3. Each candidate pair is verified once: exact Jaccard of the sets of all character 5-grams, at least `least`.
 4. Components by contraction (graph.components). Of each component the first line stays: the smallest doc_id, there the
    first row, there the smallest line number.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
-from gridloom.llm.util import free_name, materialize, numbered, release, small
+from gridloom.llm.util import drop, free_name, materialize, numbered, release, scratch, small
 
 MINIMA, BANDS = 24, 20
 #: Distances of a band's minima from its number, modulo MINIMA; all differences differ.
@@ -42,9 +42,11 @@ AGREE, CLOSE = 14, 17
 #: Lines before it in a sorted group that a line is compared with.
 NEAR = 64
 #: Words of 64 bits in a line's sketch, a power of two.
-WORDS = 16
+WORDS = 8
 #: Columns that hold 16 bits of four minima each.
 SIGNATURE = tuple(f"s{i}" for i in range(MINIMA // 4))
+#: Columns of a sketch: how many 5-grams a line has, repeats too, and a bit for the hash of each.
+SKETCH = ("grams", *(f"w{j}" for j in range(WORDS)))
 
 
 def _lines(docs: DataFrame, *keys: str) -> DataFrame:
@@ -89,19 +91,24 @@ def _lane(i: int) -> str:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(id, signature): distinct lines with the low 16 bits, the most varied ones, of their minima."""
-    coded = lines.select("id", F.expr(_encoded("line")).alias("code"))
-    hashes = coded.select("id", "code", F.explode(F.expr(_OFFSETS.format("code"))).alias("i")).select("id", F.expr(_HASH.format("code")).alias("h"))
-    halves = hashes.select("id", F.expr("cast(shiftright(h, 32) as int)").alias("top"), F.expr("cast(shiftright(shiftleft(h, 32), 32) as int)").alias("low"))
-    minima = halves.groupBy("id").agg(*(F.min(F.expr(key)).alias(f"m{i}") for i, key in enumerate(_minima())))
+    """(id, signature, sketch): distinct lines with the low 16 bits, the most varied ones, of their minima, and their sketches."""
+    coded = lines.select("id", F.expr(_encoded("line")).alias("code")).withColumn("grams", F.expr(f"greatest(1, octet_length(code) div 4 - {GRAM - 1})"))
+    hashes = coded.select("id", "code", "grams", F.explode(F.expr(_OFFSETS.format("code"))).alias("i")).select("id", "grams", F.expr(_HASH.format("code")).alias("h"))
+    halves = hashes.select("id", "grams", "h", F.expr("cast(shiftright(h, 32) as int)").alias("top"), F.expr("cast(shiftright(shiftleft(h, 32), 32) as int)").alias("low"))
+    words = (f"bit_or(if((shiftright(h, 6) & {WORDS - 1}) = {j}, shiftleft(1L, cast(h & 63 as int)), 0L))" for j in range(WORDS))
+    minima = halves.groupBy("id").agg(*(F.min(F.expr(key)).alias(f"m{i}") for i, key in enumerate(_minima())), F.max("grams").alias("grams"), *(F.expr(e).alias(f"w{j}") for j, e in enumerate(words)))
     packed = [" | ".join(f"shiftleft(cast(m{4 * k + i} & 65535 as bigint), {16 * i})" for i in range(4)) for k in range(len(SIGNATURE))]
-    return minima.select("id", *(F.expr(e).alias(s) for s, e in zip(SIGNATURE, packed, strict=True)))
+    return minima.select("id", *(F.expr(e).alias(s) for s, e in zip(SIGNATURE, packed, strict=True)), *SKETCH)
+
+
+def _band_array() -> str:
+    """The BANDS bands of a signature."""
+    return f"array({', '.join(f"xxhash64({k}, {', '.join(_lane((k + d) % MINIMA) for d in STEPS)})" for k in range(BANDS))})"
 
 
 def _bands(lines: DataFrame) -> DataFrame:
     """(k, band, id and the signature): each line under its BANDS bands."""
-    bands = (f"xxhash64({k}, {', '.join(_lane((k + d) % MINIMA) for d in STEPS)})" for k in range(BANDS))
-    return lines.select(F.posexplode(F.expr(f"array({', '.join(bands)})")).alias("k", "band"), "id", *SIGNATURE)
+    return lines.select(F.posexplode(F.expr(_band_array())).alias("k", "band"), "id", *SIGNATURE)
 
 
 def _near() -> str:
@@ -111,30 +118,36 @@ def _near() -> str:
     return f"get(array({', '.join(f"named_struct('x', {x}, 'y', {y})" for x, y in packed)}), k)"
 
 
-def _agree(x: str, y: str, least: int) -> str:
-    """Columns of two sides agree in `least` lanes; equal minima have equal lanes, so this drops no pair that agrees."""
+def _agreeing(x: str, y: str) -> str:
+    """In how many lanes two sides agree; equal minima have equal lanes."""
     lanes = (f"if(({x}.{s} ^ {y}.{s}) & {65535 << 16 * i if i < 3 else -(1 << 48)}L = 0L, 1, 0)" for s in SIGNATURE for i in range(4))
-    return f"{' + '.join(lanes)} >= {least}"
+    return f"({' + '.join(lanes)})"
 
 
-def _promising(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in AGREE minima."""
+def _promising(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in AGREE minima and whose sketches allow that they are linked."""
     pairs = materialize(pairs, "line-pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired")
     met = materialize(lines.join(small(ids, ids.count(), 16), "id", "left_semi"), "signed")
-    x, y = (met.select(F.col("id").alias(side), F.struct(*SIGNATURE).alias(f"of_{side}")) for side in "ab")
-    return pairs.join(x, "a").join(y, "b").where(_agree("of_a", "of_b", AGREE)).select("a", "b")
+    x, y = (met.select(F.col("id").alias(side), F.struct(*SIGNATURE, *SKETCH).alias(f"of_{side}")) for side in "ab")
+    return pairs.join(x, "a").join(y, "b").where(f"{_agreeing('of_a', 'of_b')} >= {AGREE} and {_alike('of_a', 'of_b', least)}").select("a", "b")
+
+
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, line) of the lines in ids, which may repeat."""
+    ids = materialize(ids.distinct(), "line-ids")
+    return _lines(docs).select("id", "line").join(small(ids, ids.count(), 16), "id", "left_semi").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """(a, b, linked) for each pair of line ids, from the whole lines."""
-    pairs = materialize(pairs, "candidates")
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-ids")
-    texts = materialize(_lines(docs).select("id", "line").join(small(ids, ids.count(), 16), "id", "left_semi").dropDuplicates(["id"]), "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    sets = both.select("a", "b", *(F.expr(_gram_set(_encoded(f"line_{s}"))).alias(f"set_{s}") for s in "ab"))
-    counted = sets.select("a", "b", F.expr("size(set_a) + size(set_b)").alias("sizes"), F.expr("size(array_intersect(set_a, set_b))").alias("both"))
-    return materialize(counted, "line-verified").select("a", "b", F.expr(f"both >= {least} * (sizes - both)").alias("linked"))
+    with scratch() as keep:
+        pairs = materialize(pairs, "candidates")
+        texts = materialize(_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs), "line-texts")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+        sets = both.select("a", "b", *(F.expr(_gram_set(_encoded(f"line_{s}"))).alias(f"set_{s}") for s in "ab"))
+        counted = sets.select("a", "b", F.expr("size(set_a) + size(set_b)").alias("sizes"), F.expr("size(array_intersect(set_a, set_b))").alias("both"))
+        return keep(counted, "line-verified").select("a", "b", F.expr(f"both >= {least} * (sizes - both)").alias("linked"))
 
 
 def _ordered(x: str, y: str) -> list:
@@ -142,7 +155,8 @@ def _ordered(x: str, y: str) -> list:
 
 
 def _neighbours(members: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b): lines of different components that stand close in a sorted group and agree in CLOSE minima."""
+    """(a, b): each line of a sorted group with that of the NEAR lines before it that agrees with it in most minima, CLOSE at
+    least, of those in other components. One for each line, so that a large group makes no square of pairs."""
     placed = members.join(small(found, found.count(), 24), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
@@ -150,18 +164,9 @@ def _neighbours(members: DataFrame, found: DataFrame, lines: DataFrame) -> DataF
     ranged = materialize(left.repartitionByRange("band", "near", "id").withColumn("run", F.spark_partition_id()), "ranged")
     before = Window.partitionBy("band", "run").orderBy("near", "id").rowsBetween(-NEAR, -1)
     met = ranged.withColumn("before", F.collect_list(F.struct("id", "component", "of")).over(before))
-    close = F.expr(f"filter(before, other -> other.component <> component and {_agree('of', 'other.of', CLOSE)})")
-    return met.select("id", F.explode(F.transform(close, lambda other: other["id"])).alias("other")).select(*_ordered("id", "other")).distinct()
-
-
-def _sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, sketch): how many 5-grams a line has, repeats too, and in WORDS words a bit for the hash of each."""
-    lines = _lines(docs).select("id", "line").join(small(ids, ids.count(), 16), "id", "left_semi").dropDuplicates(["id"])
-    coded = lines.select("id", F.expr(_encoded("line")).alias("code"))
-    hashes = coded.select("id", "code", F.explode(F.expr(_OFFSETS.format("code"))).alias("i")).select("id", F.expr(_HASH.format("code")).alias("h"))
-    words = (f"bit_or(if((shiftright(h, 6) & {WORDS - 1}) = {j}, shiftleft(1L, cast(h & 63 as int)), 0L))" for j in range(WORDS))
-    marked = hashes.groupBy("id").agg(F.count("*").alias("grams"), *(F.expr(e).alias(f"w{j}") for j, e in enumerate(words)))
-    return marked.select("id", F.struct("grams", *(f"w{j}" for j in range(WORDS))).alias("sketch"))
+    agreeing = f"transform(filter(before, other -> other.component <> component), other -> struct({_agreeing('of', 'other.of')} as n, other.id as id))"
+    best = met.select("id", F.array_max(F.expr(agreeing)).alias("best")).where(f"best.n >= {CLOSE}")
+    return best.select("id", F.col("best.id").alias("other")).select(*_ordered("id", "other")).distinct()
 
 
 def _alike(x: str, y: str, least: float) -> str:
@@ -174,70 +179,101 @@ def _alike(x: str, y: str, least: float) -> str:
     return f"({apart}) * {1 + least}D <= ({x}.grams + {y}.grams) * {1 - least}D + 1e-6D"
 
 
-def _across(members: DataFrame, found: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(a, b): all lines of different components that share a band, but for those whose sketches show that they are not linked.
+def _short(texts: DataFrame) -> DataFrame:
+    """(id, size, cut): the size of each line's set of 5-grams, and 16 bits of their hashes, each once."""
+    sets = texts.select("id", F.expr(_gram_set(_encoded("line"))).alias("set"))
+    return sets.select("id", F.size("set").alias("size"), F.expr("array_distinct(transform(set, h -> cast((h & 65535L) - 32768L as short)))").alias("cut"))
+
+
+def _matching(x: str, y: str, least: float) -> str:
+    """As _alike, for short sets: what one alone has of two short sets stands for a 5-gram that its line alone has."""
+    allowed = f"({x}.size + {y}.size) * {1 - least}D + 1e-6D"
+    apart = f"(size({x}.cut) + size({y}.cut) - 2 * size(array_intersect({x}.cut, {y}.cut)))"
+    return f"abs(size({x}.cut) - size({y}.cut)) * {1 + least}D <= {allowed} and {apart} * {1 + least}D <= {allowed}"
+
+
+def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(a, b): all lines of different components that share a band, but for those whose sets show that they are not linked.
 
     members has all groups. A group's largest component meets the others only, so a group that is one component but for
-    a few lines costs as many comparisons as these lines times the group.
+    a few lines costs as many comparisons as these lines times the group. Lines that have a partner by the sketches, each
+    once, get short sets; pairs become rows only if these allow the similarity, so close pairs that are not linked make none.
     """
     placed = members.join(small(found, found.count(), 24), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     placed = materialize(placed, "all-placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     left = materialize(placed.join(mixed, "band", "left_semi"), "open")
+    drop(placed)
     mains = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    ids = materialize(left.select("id").distinct(), "open-ids")
-    sketches = materialize(_sketches(ids, docs), "sketches")
-    ready = materialize(left.join(mains, "band").join(sketches, "id").select("band", "id", "component", (F.col("component") == F.col("main")).alias("in_main"), "sketch"), "open-lines")
-    x = ready.where("not in_main").select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("xa"))
-    y = ready.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("xb"), "in_main")
-    near = F.expr(f"x.band = y.band and ca <> cb and (in_main or a < b) and {_alike('xa', 'xb', least)}")
-    return x.alias("x").join(y.alias("y"), near).select(*_ordered("a", "b")).distinct()
+    ready = left.join(mains, "band").join(lines.select("id", F.struct(*SKETCH).alias("sketch")), "id")
+    ready = materialize(ready.select("band", "id", "component", (F.col("component") == F.col("main")).alias("in_main"), "sketch"), "open-lines")
+    drop(left)
+    met = F.expr(f"x.band = y.band and x.component <> y.component and {_alike('x.sketch', 'y.sketch', least)}")
+    outside = materialize(ready.where("not in_main").alias("x").join(ready.alias("y"), met, "left_semi"), "outside")
+    inside = ready.where("in_main").alias("x").join(outside.alias("y"), met, "left_semi")
+    close = materialize(outside.union(inside), "close")
+    drop(ready)
+    drop(outside)
+    short = _short(_texts(close.select("id"), docs)).join(lines.select("id", F.expr(_band_array()).alias("bands")), "id")
+    short = materialize(short.select("id", F.struct("size", "cut").alias("set"), "bands"), "short-sets")
+    # a pair counts in the least of the bands that it shares
+    rows = close.join(short, "id").withColumn("bands", F.expr("filter(bands, b -> b < band)"))
+    rows = materialize(rows, "close-lines")
+    x, y = rows.where("not in_main").alias("x"), rows.alias("y")
+    linked = F.expr(f"x.band = y.band and x.component <> y.component and (y.in_main or x.id < y.id) and {_alike('x.sketch', 'y.sketch', least)} and not arrays_overlap(x.bands, y.bands) and {_matching('x.set', 'y.set', least)}")
+    return x.join(y, linked).select(*_ordered("x.id", "y.id")).distinct()
 
 
 def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(id, component): lines (by hash) that are linked with other lines; component is the smallest id reached."""
-    release(docs.sparkSession)
-    lines = materialize(_signatures(_lines(docs)), "lines")
-    groups = materialize(_bands(lines).groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1"), "groups")
-    larger = groups.where("n > 2").select("band", "n")
-    # what a group is sorted by is computed for the rows that are in one
-    joined = _bands(lines).join(small(larger, larger.count(), 24), "band")
-    members = materialize(joined.select("band", F.expr(_near()).alias("near"), "id", "n"), "members")
-    company = members.groupBy("id").agg(F.sum("n").alias("company"))
-    central = members.join(company, "id").groupBy("band").agg(F.max_by("id", "company").alias("lead"))
-    stars = members.join(central, "band").where("id <> lead").select(*_ordered("id", "lead"))
-    pairs = groups.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    checked = _verified(_promising(stars.union(pairs).distinct(), lines), docs, least)
-    found = components(checked.where("linked").select("a", "b"))
-    release(docs.sparkSession)
-    rest = _neighbours(members.drop("n"), found, lines).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(rest, docs, least)
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")))
-    release(docs.sparkSession)
-    # what is not linked by now: every pair that shares a band
-    alone = groups.where("n = 2").select("band", F.explode(F.array("low", "high")).alias("id"))
-    known = checked.select("a", "b").union(more.select("a", "b"))
-    rest = _across(members.select("band", "id").union(alone), found, docs, least).join(known, ["a", "b"], "left_anti")
-    last = _verified(rest, docs, least).where("linked").select("a", "b")
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
+    spark = docs.sparkSession
+    release(spark)
+    with scratch() as keep:
+        lines = materialize(_signatures(_lines(docs)), "lines")
+        groups = materialize(_bands(lines).groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1"), "groups")
+        release(spark)
+        larger = groups.where("n > 2").select("band", "n")
+        # what a group is sorted by is computed for the rows that are in one
+        joined = _bands(lines).join(small(larger, larger.count(), 24), "band")
+        members = materialize(joined.select("band", F.expr(_near()).alias("near"), "id", "n"), "members")
+        with scratch() as keep_here:
+            company = members.groupBy("id").agg(F.sum("n").alias("company"))
+            central = members.join(company, "id").groupBy("band").agg(F.max_by("id", "company").alias("lead"))
+            stars = members.join(central, "band").where("id <> lead").select(*_ordered("id", "lead"))
+            pairs = groups.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+            checked = keep_here(_verified(_promising(stars.union(pairs).distinct(), lines, least), docs, least), "checked")
+        found = components(checked.where("linked").select("a", "b"))
+        release(spark)
+        with scratch() as keep_here:
+            rest = _neighbours(members.drop("n"), found, lines).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            more = keep_here(_verified(rest, docs, least).where("linked").select("a", "b"), "more")
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        release(spark)
+        # what is not linked by now: every pair that shares a band
+        alone = groups.where("n = 2").select("band", F.explode(F.array("low", "high")).alias("id"))
+        with scratch() as keep_here:
+            rest = _across(members.select("band", "id").union(alone), found, lines, docs, least)
+            last = keep_here(_verified(rest, docs, least).where("linked").select("a", "b"), "last")
+        return keep(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last)), "line-groups")
 
 
 def _removed(rows: DataFrame, row: str, least: float) -> DataFrame:
     """(doc_id, row, removed): the line numbers that go, in order, for the rows that lose any."""
     docs = rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row, "text")
-    groups = materialize(line_groups(docs.select("text"), least), "line-groups")
-    n = groups.count()
-    # a linked line goes by its component, any other by its own two hashes
-    twins = _lines(docs).join(small(groups, n, 24), "id", "left_semi").groupBy("id").agg(F.min("twin").alias("twin"), F.max("twin").alias("other")).where("twin = other").drop("other")
-    groups = materialize(groups.join(small(twins, n, 24), "id"), "twinned")
-    named = _lines(docs, "doc_id", row).drop("line").join(small(groups, n, 32), ["id", "twin"], "left")
-    places = materialize(named.select("doc_id", row, "line_no", F.coalesce("component", "id").alias("group"), F.when(F.col("component").isNull(), F.col("twin")).otherwise(0).alias("single")), "places")
-    repeated = places.groupBy("group", "single").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    repeated = materialize(repeated, "repeated")
-    mine = materialize(places.join(small(repeated, repeated.count(), 32), ["group", "single"]), "repeated-places")
-    keep = materialize(mine.groupBy("group", "single").agg(F.min(F.struct("doc_id", row, "line_no")).alias("first")), "keep")
-    gone = mine.join(small(keep, keep.count(), 64), ["group", "single"]).where(F.struct("doc_id", row, "line_no") != F.col("first"))
-    return materialize(gone.groupBy("doc_id", row).agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed")
+    with scratch() as hold:
+        groups = line_groups(docs.select("text"), least)
+        n = groups.count()
+        # a linked line goes by its component, any other by its own two hashes
+        twins = _lines(docs).join(small(groups, n, 24), "id", "left_semi").groupBy("id").agg(F.min("twin").alias("twin"), F.max("twin").alias("other")).where("twin = other").drop("other")
+        groups = materialize(groups.join(small(twins, n, 24), "id"), "twinned")
+        named = _lines(docs, "doc_id", row).drop("line").join(small(groups, n, 32), ["id", "twin"], "left")
+        places = materialize(named.select("doc_id", row, "line_no", F.coalesce("component", "id").alias("group"), F.when(F.col("component").isNull(), F.col("twin")).otherwise(0).alias("single")), "places")
+        repeated = places.groupBy("group", "single").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        repeated = materialize(repeated, "repeated")
+        mine = materialize(places.join(small(repeated, repeated.count(), 32), ["group", "single"]), "repeated-places")
+        keep = materialize(mine.groupBy("group", "single").agg(F.min(F.struct("doc_id", row, "line_no")).alias("first")), "keep")
+        gone = mine.join(small(keep, keep.count(), 64), ["group", "single"]).where(F.struct("doc_id", row, "line_no") != F.col("first"))
+        return hold(gone.groupBy("doc_id", row).agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed")
 
 
 def _small_removed(removed: DataFrame) -> DataFrame:

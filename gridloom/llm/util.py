@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side of a join may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: open: the tables written in each open `scratch` of a thread, the innermost last.
+_SCRATCH = threading.local()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -42,7 +47,48 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    if _open():
+        _open()[-1].append(table)
+    return table
+
+
+def _open() -> list[list[DataFrame]]:
+    if not hasattr(_SCRATCH, "open"):
+        _SCRATCH.open = []
+    return _SCRATCH.open
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes the files of a table that `materialize` or `scratch` returned; other frames are left alone."""
+    path = table.__dict__.get("_table_path")
+    if path:
+        at = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block at whose end the tables written in it are deleted, but for those written by the function that it gives."""
+    made: list[DataFrame] = []
+    _open().append(made)
+
+    def keep(df: DataFrame, name: str = "table") -> DataFrame:
+        table = materialize(df, name)
+        made.pop()
+        if len(_open()) > 1:
+            _open()[-2].append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _open().pop()
+        for table in made:
+            drop(table)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -291,6 +291,25 @@ def test_line_dedup_every_pair_of_a_band(spark, monkeypatch):
     assert {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed} == want
 
 
+def test_line_dedup_close_lines_make_no_square(spark, monkeypatch):
+    """Lines of one group that are close and not linked: what is verified grows with the lines, not with their square."""
+    rnd = random.Random(8)
+    base = _prose(168, rnd).split()
+    lines = [" ".join(rnd.choice(_VOCAB) if j in at else w for j, w in enumerate(base)) for at in (set(rnd.sample(range(168), 8)) for _ in range(200))]
+    verified, seen = line_dedup._verified, []
+
+    def counted(pairs, *rest):
+        out = verified(pairs, *rest)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    corpus = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got, want = {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed}, _brute_lines(lines)
+    assert got <= want and len(got) >= 0.96 * len(want)
+    assert len(seen) == 3 and sum(seen) <= 25 * len(lines)
+
+
 def test_line_dedup_repeated_rows(spark):
     """Rows that share a doc_id: the first keeps a line, the others lose it; nothing else is lost."""
     rows = [(5, "a line that two equal rows have\nand one more line here", 1), (5, "a line that two equal rows have\nand one more line here", 1), (5, "an other text of the same id", 2), (6, "an other text of the same id", 3), (None, "a line that two equal rows have", 4)]
