@@ -21,7 +21,7 @@ from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.mixing import WEIGHTS, label_domains, mix
 from gridloom.llm.ngram_join import keep_first
 from gridloom.llm.quality_rules import keep_quality
-from gridloom.llm.util import materialize
+from gridloom.llm.util import drop, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read by the next."""
+    """All stages over documents; each stage's result is written to the shared folder and read by the next.
+
+    What a stage wrote on its way is deleted when its result is there, and so is the result before.
+    """
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:
+            done = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.util import materialize, release, small
+from gridloom.llm.util import materialize, release, scratch, small
 
 SHINGLE = 5
 #: Bits by which two fingerprints may differ; three standard deviations beyond what a similarity of 0.8 makes likely.
@@ -136,5 +136,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The documents that hold no item, unchanged; rows without doc_id stay."""
-    dirty = materialize(leaks(docs, benchmark, least).select("doc_id").distinct(), "dirty")
+    with scratch() as keep:
+        dirty = keep(leaks(docs, benchmark, least).select("doc_id").distinct(), "dirty")
     return docs.join(small(dirty, dirty.count(), 16), "doc_id", "left_anti").select(docs.columns)

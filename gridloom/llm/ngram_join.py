@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
 from gridloom.llm.textops import shingle_set, words
-from gridloom.llm.util import materialize, release, ship_package, small
+from gridloom.llm.util import materialize, release, scratch, ship_package, small
 
 _BLOCK = 1 << 13
 #: Documents of one set from which their group is joined by a broadcast of its representative.
@@ -208,5 +208,6 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
 
 def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """The documents, of each component only the one with the smallest doc_id; rows without doc_id stay."""
-    gone = materialize(ngram_join(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    with scratch() as keep:
+        gone = keep(ngram_join(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(small(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)

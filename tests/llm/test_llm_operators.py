@@ -533,6 +533,25 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in out) == list(range(60)) and all(r.rate >= 0 for r in out)
 
 
+def test_pipeline_stages_leave_no_tables(spark, docs):
+    """What a stage wrote on its way is gone when its result can be read, so that the next one has the disk."""
+    import os
+
+    import corpus_pipeline
+    from gridloom.llm.util import materialize, shared_dir
+
+    def tables():
+        top = shared_dir(spark).removeprefix("file:") + "/gridloom"
+        return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+    for stage, most in ((corpus_pipeline.lines, 2), (corpus_pipeline.copies, 1)):
+        before = tables()
+        out = stage(spark, docs, "")
+        assert len(tables() - before) <= most and out.count() > 0
+    mine = materialize(docs.select("doc_id"), "mine")
+    assert mine.count() == docs.count()
+
+
 def test_pipeline_lines_whatever_the_caps(spark, monkeypatch):
     """The stage lines removes a linked line that only the complete round can find."""
     import corpus_pipeline
