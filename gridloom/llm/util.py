@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side of a join may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: The setting by which Spark deletes a statement's shuffle files at its end, not when the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: open: the tables written in each open `scratch` of a thread, the innermost last.
 _SCRATCH = threading.local()
 
@@ -43,7 +45,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

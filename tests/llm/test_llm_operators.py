@@ -5,11 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, graph, html_extract, line_dedup, mixing, ngram_join, quality_mil, quality_rules, substring_dedup, toxicity, url_filter
+from gridloom.llm import decontaminate, graph, html_extract, line_dedup, mixing, ngram_join, quality_mil, quality_rules, substring_dedup, toxicity, url_filter, util
 from gridloom.llm.textops import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, removed string, rate string, hi string"
@@ -552,6 +553,19 @@ def test_pipeline_stages_leave_no_tables(spark, docs):
     assert mine.count() == docs.count()
 
 
+def test_materialize_leaves_no_shuffle_files(spark):
+    """A table's shuffle files go with its write, before the driver collects any garbage; the setting is as before."""
+    def blocks():
+        return {b for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+    before, told = blocks(), spark.conf.get(util.CLEAN_UP, None)
+    table = util.materialize(spark.range(20000).repartition(4, "id").groupBy((F.col("id") % 500).alias("k")).count())
+    end = time.time() + 5
+    while blocks() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not blocks() - before and table.count() == 500 and spark.conf.get(util.CLEAN_UP, None) == told
+
+
 def test_pipeline_lines_whatever_the_caps(spark, monkeypatch):
     """The stage lines removes a linked line that only the complete round can find."""
     import corpus_pipeline
