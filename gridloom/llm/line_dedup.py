@@ -124,19 +124,23 @@ def _agreeing(x: str, y: str) -> str:
     return f"({' + '.join(lanes)})"
 
 
+def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of lines whose id is in ids, which may repeat."""
+    ids = materialize(ids.distinct(), "line-ids")
+    return lines.join(small(ids, ids.count(), 16), "id", "left_semi")
+
+
 def _promising(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     """The pairs whose signatures agree in AGREE minima and whose sketches allow that they are linked."""
     pairs = materialize(pairs, "line-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired")
-    met = materialize(lines.join(small(ids, ids.count(), 16), "id", "left_semi"), "signed")
+    met = materialize(_only(lines, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "signed")
     x, y = (met.select(F.col("id").alias(side), F.struct(*SIGNATURE, *SKETCH).alias(f"of_{side}")) for side in "ab")
     return pairs.join(x, "a").join(y, "b").where(f"{_agreeing('of_a', 'of_b')} >= {AGREE} and {_alike('of_a', 'of_b', least)}").select("a", "b")
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, line) of the lines in ids, which may repeat."""
-    ids = materialize(ids.distinct(), "line-ids")
-    return _lines(docs).select("id", "line").join(small(ids, ids.count(), 16), "id", "left_semi").dropDuplicates(["id"])
+    return _only(_lines(docs).select("id", "line"), ids).dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -196,8 +200,9 @@ def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFr
     """(a, b): all lines of different components that share a band, but for those whose sets show that they are not linked.
 
     members has all groups. A group's largest component meets the others only, so a group that is one component but for
-    a few lines costs as many comparisons as these lines times the group. Lines that have a partner by the sketches, each
-    once, get short sets; pairs become rows only if these allow the similarity, so close pairs that are not linked make none.
+    a few lines costs as many comparisons as these lines times the group. A pair counts in the least of the bands that it
+    shares, and only there its lines get short sets, if the sketches allow that it is linked; pairs become rows only
+    if these sets allow it too, so close pairs that are not linked make none.
     """
     placed = members.join(small(found, found.count(), 24), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     placed = materialize(placed, "all-placed")
@@ -205,22 +210,22 @@ def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFr
     left = materialize(placed.join(mixed, "band", "left_semi"), "open")
     drop(placed)
     mains = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    ready = left.join(mains, "band").join(lines.select("id", F.struct(*SKETCH).alias("sketch")), "id")
-    ready = materialize(ready.select("band", "id", "component", (F.col("component") == F.col("main")).alias("in_main"), "sketch"), "open-lines")
+    signed = _only(lines, left.select("id")).select("id", F.struct(*SKETCH).alias("sketch"), F.expr(_band_array()).alias("bands"))
+    ready = left.join(mains, "band").join(signed, "id").withColumn("bands", F.expr("filter(bands, b -> b < band)"))
+    ready = materialize(ready.select("band", "id", "component", (F.col("component") == F.col("main")).alias("in_main"), "sketch", "bands"), "open-lines")
     drop(left)
-    met = F.expr(f"x.band = y.band and x.component <> y.component and {_alike('x.sketch', 'y.sketch', least)}")
-    outside = materialize(ready.where("not in_main").alias("x").join(ready.alias("y"), met, "left_semi"), "outside")
-    inside = ready.where("in_main").alias("x").join(outside.alias("y"), met, "left_semi")
+    met = f"x.band = y.band and x.component <> y.component and {_alike('x.sketch', 'y.sketch', least)} and not arrays_overlap(x.bands, y.bands)"
+    outside = materialize(ready.where("not in_main").alias("x").join(ready.alias("y"), F.expr(met), "left_semi"), "outside")
+    inside = ready.where("in_main").alias("x").join(outside.alias("y"), F.expr(met), "left_semi")
     close = materialize(outside.union(inside), "close")
     drop(ready)
     drop(outside)
-    short = _short(_texts(close.select("id"), docs)).join(lines.select("id", F.expr(_band_array()).alias("bands")), "id")
-    short = materialize(short.select("id", F.struct("size", "cut").alias("set"), "bands"), "short-sets")
-    # a pair counts in the least of the bands that it shares
-    rows = close.join(short, "id").withColumn("bands", F.expr("filter(bands, b -> b < band)"))
-    rows = materialize(rows, "close-lines")
+    short = materialize(_short(_texts(close.select("id"), docs)).select("id", F.struct("size", "cut").alias("set")), "short-sets")
+    rows = materialize(close.join(short, "id"), "close-lines")
+    drop(close)
+    drop(short)
     x, y = rows.where("not in_main").alias("x"), rows.alias("y")
-    linked = F.expr(f"x.band = y.band and x.component <> y.component and (y.in_main or x.id < y.id) and {_alike('x.sketch', 'y.sketch', least)} and not arrays_overlap(x.bands, y.bands) and {_matching('x.set', 'y.set', least)}")
+    linked = F.expr(f"{met} and (y.in_main or x.id < y.id) and {_matching('x.set', 'y.set', least)}")
     return x.join(y, linked).select(*_ordered("x.id", "y.id")).distinct()
 
 

@@ -292,6 +292,25 @@ def test_line_dedup_every_pair_of_a_band(spark, monkeypatch):
     assert {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed} == want
 
 
+def test_line_dedup_sets_for_one_band_of_a_pair(spark, monkeypatch):
+    """The complete round gives the two lines of a pair their sets in one of the bands that they share."""
+    rnd, written, materialize = random.Random(5), [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "AGREE", 25)
+    monkeypatch.setattr(line_dedup, "CLOSE", 25)
+    pairs = [(line, line + " x") for line in (_prose(40, rnd) for _ in range(30))]
+
+    def counted(df, name="table"):
+        table = materialize(df, name)
+        if name == "close-lines":
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    corpus = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.line_report(corpus).collect() if r.n_removed} == set(range(1, 60, 2))
+    assert written == [60]
+
+
 def test_line_dedup_close_lines_make_no_square(spark, monkeypatch):
     """Lines of one group that are close and not linked: what is verified grows with the lines, not with their square."""
     rnd = random.Random(8)
