@@ -11,7 +11,7 @@ Everything is DataFrame functions.
    component. These two rounds take only pairs that agree in AGREE minima (neighbours in CLOSE); they connect most of what
    is linked, without a square of pairs, and decide nothing. Groups are sorted in range partitions, so that a large one is no single task.
    The last round is complete: of every group that still holds several components, all pairs of lines of different
-   components, without any cap. Sketches, then 16-bit hashes of the 5-grams, drop pairs in the join, only such as cannot be linked.
+   components, without any cap. Sketches, then odd sketches of the sets of 5-grams, drop pairs in the join, only such as cannot be linked.
 3. Each candidate pair is verified once: exact Jaccard of the sets of all character 5-grams, at least `least`.
 4. Components by contraction (graph.components). Of each component the first line stays: the smallest doc_id, there the
    first row, there the smallest line number.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
-from gridloom.llm.util import drop, free_name, materialize, numbered, release, scratch, small
+from gridloom.llm.util import drop, free_name, materialize, numbered, release, scratch, small, stacked
 
 MINIMA, BANDS = 24, 20
 #: Distances of a band's minima from its number, modulo MINIMA; all differences differ.
@@ -43,10 +43,17 @@ AGREE, CLOSE = 14, 17
 NEAR = 64
 #: Words of 64 bits in a line's sketch, a power of two.
 WORDS = 8
+#: Bands that are worked on at a time: a quarter of them lies on disk at once, and generated code stays under the 8,000 bytes
+#: of a method that the JVM compiles (all in one were more, and ran interpreted).
+SLICES = tuple(range(k, k + 5) for k in range(0, BANDS, 5))
 #: Columns that hold 16 bits of four minima each.
 SIGNATURE = tuple(f"s{i}" for i in range(MINIMA // 4))
 #: Columns of a sketch: how many 5-grams a line has, repeats too, and a bit for the hash of each.
 SKETCH = ("grams", *(f"w{j}" for j in range(WORDS)))
+#: Words of an odd sketch, a power of two; those of lines of more than LONG 5-grams, which have WIDE besides.
+ODD, WIDE, LONG = 32, 256, 4096
+#: Rows with odd sketches that lie on disk at a time, about 300 bytes each.
+ROWS = 1 << 20
 
 
 def _lines(docs: DataFrame, *keys: str) -> DataFrame:
@@ -101,21 +108,17 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return minima.select("id", *(F.expr(e).alias(s) for s, e in zip(SIGNATURE, packed, strict=True)), *SKETCH)
 
 
-def _band_array() -> str:
-    """The BANDS bands of a signature."""
-    return f"array({', '.join(f"xxhash64({k}, {', '.join(_lane((k + d) % MINIMA) for d in STEPS)})" for k in range(BANDS))})"
-
-
-def _bands(lines: DataFrame) -> DataFrame:
-    """(k, band, id and the signature): each line under its BANDS bands."""
-    return lines.select(F.posexplode(F.expr(_band_array())).alias("k", "band"), "id", *SIGNATURE)
+def _bands(lines: DataFrame, some: range = range(BANDS)) -> DataFrame:
+    """(k, band, id): each line under its bands of the numbers `some`."""
+    bands = (f"xxhash64({k}, {', '.join(_lane((k + d) % MINIMA) for d in STEPS)})" for k in some)
+    return lines.select(F.posexplode(F.expr(f"array({', '.join(bands)})")).alias("k", "band"), "id").withColumn("k", F.col("k") + some.start)
 
 
 def _near() -> str:
-    """Eight minima outside band k, as two numbers to sort by."""
+    """Eight minima outside band k, as two numbers to sort by; lanes holds those of a signature."""
     others = [d for d in range(MINIMA) if d not in STEPS]
-    packed = [[" | ".join(f"shiftleft({_lane((k + d) % MINIMA)}, {16 * i})" for i, d in enumerate(others[lo : lo + 4])) for lo in (0, 4)] for k in range(BANDS)]
-    return f"get(array({', '.join(f"named_struct('x', {x}, 'y', {y})" for x, y in packed)}), k)"
+    x, y = (" | ".join(f"shiftleft(get(lanes, (k + {d}) % {MINIMA}), {16 * i})" for i, d in enumerate(others[lo : lo + 4])) for lo in (0, 4))
+    return f"named_struct('x', {x}, 'y', {y})"
 
 
 def _agreeing(x: str, y: str) -> str:
@@ -164,7 +167,8 @@ def _neighbours(members: DataFrame, found: DataFrame, lines: DataFrame) -> DataF
     placed = members.join(small(found, found.count(), 24), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    left = materialize(placed.join(mixed, "band", "left_semi").join(lines.select("id", F.struct(*SIGNATURE).alias("of")), "id"), "left")
+    signed = lines.select("id", F.struct(*SIGNATURE).alias("of"), F.expr(f"array({', '.join(map(_lane, range(MINIMA)))})").alias("lanes"))
+    left = materialize(placed.join(mixed, "band", "left_semi").join(signed, "id").withColumn("near", F.expr(_near())).drop("k", "lanes"), "left")
     ranged = materialize(left.repartitionByRange("band", "near", "id").withColumn("run", F.spark_partition_id()), "ranged")
     before = Window.partitionBy("band", "run").orderBy("near", "id").rowsBetween(-NEAR, -1)
     met = ranged.withColumn("before", F.collect_list(F.struct("id", "component", "of")).over(before))
@@ -183,17 +187,27 @@ def _alike(x: str, y: str, least: float) -> str:
     return f"({apart}) * {1 + least}D <= ({x}.grams + {y}.grams) * {1 - least}D + 1e-6D"
 
 
-def _short(texts: DataFrame) -> DataFrame:
-    """(id, size, cut): the size of each line's set of 5-grams, and 16 bits of their hashes, each once."""
+def _odd(texts: DataFrame) -> DataFrame:
+    """(id, size, o0 and on, wide): the size of each line's set of 5-grams, and its odd sketch: each bit tells whether the number
+    of 5-grams whose hash falls on it is odd. wide is the sketch in WIDE words of a line of more than LONG 5-grams, else null."""
     sets = texts.select("id", F.expr(_gram_set(_encoded("line"))).alias("set"))
-    return sets.select("id", F.size("set").alias("size"), F.expr("array_distinct(transform(set, h -> cast((h & 65535L) - 32768L as short)))").alias("cut"))
+    hashes = sets.select("id", F.size("set").alias("size"), F.explode("set").alias("h"))
+    placed = hashes.select("id", "size", F.expr(f"cast(shiftright(h, 6) & if(size > {LONG}, {WIDE - 1}, {ODD - 1}) as int)").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = materialize(placed.groupBy("id", "size", "word").agg(F.expr("bit_xor(bit)").alias("bits")), "odd-words")
+    odd = words.groupBy("id").agg(F.max("size").alias("size"), *(F.expr(f"bit_xor(if((word & {ODD - 1}) = {j}, bits, 0L))").alias(f"o{j}") for j in range(ODD)))
+    wide = words.where(f"size > {LONG}").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("by_word"))
+    wide = wide.select("id", F.expr(f"transform(sequence(0, {WIDE - 1}), j -> coalesce(try_element_at(by_word, j), 0L))").alias("wide"))
+    out = materialize(odd.join(wide, "id", "left"), "odd")
+    drop(words)
+    return out
 
 
 def _matching(x: str, y: str, least: float) -> str:
-    """As _alike, for short sets: what one alone has of two short sets stands for a 5-gram that its line alone has."""
+    """As _alike, for odd sketches: where two differ there is a 5-gram that one line alone has."""
     allowed = f"({x}.size + {y}.size) * {1 - least}D + 1e-6D"
-    apart = f"(size({x}.cut) + size({y}.cut) - 2 * size(array_intersect({x}.cut, {y}.cut)))"
-    return f"abs(size({x}.cut) - size({y}.cut)) * {1 + least}D <= {allowed} and {apart} * {1 + least}D <= {allowed}"
+    apart = " + ".join(f"bit_count({x}.o{j} ^ {y}.o{j})" for j in range(ODD))
+    wide = f"aggregate(zip_with({x}.wide, {y}.wide, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)"
+    return f"abs({x}.size - {y}.size) * {1 + least}D <= {allowed} and ({apart}) * {1 + least}D <= {allowed} and ({x}.wide is null or {y}.wide is null or {wide} * {1 + least}D <= {allowed})"
 
 
 def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -201,8 +215,8 @@ def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFr
 
     members has all groups. A group's largest component meets the others only, so a group that is one component but for
     a few lines costs as many comparisons as these lines times the group. A pair counts in the least of the bands that it
-    shares, and only there its lines get short sets, if the sketches allow that it is linked; pairs become rows only
-    if these sets allow it too, so close pairs that are not linked make none.
+    shares, and only there its lines get odd sketches, if the plain ones allow that it is linked; pairs become rows only
+    if these allow it too, so close pairs that are not linked make none. Where many lines are left, bands are taken in parts.
     """
     placed = members.join(small(found, found.count(), 24), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     placed = materialize(placed, "all-placed")
@@ -210,23 +224,31 @@ def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFr
     left = materialize(placed.join(mixed, "band", "left_semi"), "open")
     drop(placed)
     mains = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    signed = _only(lines, left.select("id")).select("id", F.struct(*SKETCH).alias("sketch"), F.expr(_band_array()).alias("bands"))
+    # lines of different components that share a band share it here, so these are all that can be the least
+    own = materialize(left.groupBy("id").agg(F.collect_list("band").alias("bands")), "open-ids")
+    signed = lines.select("id", F.struct(*SKETCH).alias("sketch")).join(small(own, own.count(), 32 + 8 * BANDS), "id")
     ready = left.join(mains, "band").join(signed, "id").withColumn("bands", F.expr("filter(bands, b -> b < band)"))
     ready = materialize(ready.select("band", "id", "component", (F.col("component") == F.col("main")).alias("in_main"), "sketch", "bands"), "open-lines")
     drop(left)
-    met = f"x.band = y.band and x.component <> y.component and {_alike('x.sketch', 'y.sketch', least)} and not arrays_overlap(x.bands, y.bands)"
-    outside = materialize(ready.where("not in_main").alias("x").join(ready.alias("y"), F.expr(met), "left_semi"), "outside")
-    inside = ready.where("in_main").alias("x").join(outside.alias("y"), F.expr(met), "left_semi")
-    close = materialize(outside.union(inside), "close")
+    drop(own)
+    apart, first = "x.band = y.band and x.component <> y.component", "not arrays_overlap(x.bands, y.bands)"
+    met = F.expr(f"{apart} and {_alike('x.sketch', 'y.sketch', least)} and {first}")
+    outside = materialize(ready.where("not in_main").alias("x").join(ready.alias("y"), met, "left_semi"), "outside")
+    inside = ready.where("in_main").alias("x").join(outside.alias("y"), met, "left_semi")
+    close = materialize(outside.union(inside).drop("sketch"), "close")
     drop(ready)
     drop(outside)
-    short = materialize(_short(_texts(close.select("id"), docs)).select("id", F.struct("size", "cut").alias("set")), "short-sets")
-    rows = materialize(close.join(short, "id"), "close-lines")
+    odd = _odd(_texts(close.select("id"), docs))
+    pairs, parts = [], 1 + close.count() // ROWS
+    for i in range(parts):
+        rows = materialize(close.where(f"pmod(xxhash64(band), {parts}) = {i}").join(odd, "id"), "close-lines")
+        x, y = rows.where("not in_main").alias("x"), rows.alias("y")
+        linked = F.expr(f"{apart} and (y.in_main or x.id < y.id) and {_matching('x', 'y', least)} and {first}")
+        pairs.append(materialize(x.join(y, linked).select(*_ordered("x.id", "y.id")), "across"))
+        drop(rows)
     drop(close)
-    drop(short)
-    x, y = rows.where("not in_main").alias("x"), rows.alias("y")
-    linked = F.expr(f"{met} and (y.in_main or x.id < y.id) and {_matching('x.set', 'y.set', least)}")
-    return x.join(y, linked).select(*_ordered("x.id", "y.id")).distinct()
+    drop(odd)
+    return stacked(pairs).distinct()
 
 
 def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -235,14 +257,15 @@ def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     release(spark)
     with scratch() as keep:
         lines = materialize(_signatures(_lines(docs)), "lines")
-        groups = materialize(_bands(lines).groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1"), "groups")
+        found_groups, found_members = [], []
+        for some in SLICES:
+            found_groups.append(materialize(_bands(lines, some).groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1"), "groups"))
+            larger = found_groups[-1].where("n > 2").select("band", "n")
+            found_members.append(materialize(_bands(lines, some).join(small(larger, larger.count(), 24), "band").select("band", "k", "id"), "members"))
+        groups, members = stacked(found_groups), stacked(found_members)
         release(spark)
-        larger = groups.where("n > 2").select("band", "n")
-        # what a group is sorted by is computed for the rows that are in one
-        joined = _bands(lines).join(small(larger, larger.count(), 24), "band")
-        members = materialize(joined.select("band", F.expr(_near()).alias("near"), "id", "n"), "members")
         with scratch() as keep_here:
-            company = members.groupBy("id").agg(F.sum("n").alias("company"))
+            company = members.join(groups.select("band", "n"), "band").groupBy("id").agg(F.sum("n").alias("company"))
             central = members.join(company, "id").groupBy("band").agg(F.max_by("id", "company").alias("lead"))
             stars = members.join(central, "band").where("id <> lead").select(*_ordered("id", "lead"))
             pairs = groups.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -250,7 +273,7 @@ def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
         found = components(checked.where("linked").select("a", "b"))
         release(spark)
         with scratch() as keep_here:
-            rest = _neighbours(members.drop("n"), found, lines).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            rest = _neighbours(members, found, lines).join(checked.select("a", "b"), ["a", "b"], "left_anti")
             more = keep_here(_verified(rest, docs, least).where("linked").select("a", "b"), "more")
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
         release(spark)

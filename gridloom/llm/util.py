@@ -61,6 +61,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return table
 
 
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """One frame of the rows of tables that `materialize` returned, all of one schema."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._table_path for t in tables))
+
+
 def _open() -> list[list[DataFrame]]:
     if not hasattr(_SCRATCH, "open"):
         _SCRATCH.open = []

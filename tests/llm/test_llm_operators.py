@@ -311,6 +311,41 @@ def test_line_dedup_sets_for_one_band_of_a_pair(spark, monkeypatch):
     assert written == [60]
 
 
+def test_line_dedup_complete_round_in_parts(spark, monkeypatch):
+    """The complete round takes long lines by sketches of a fixed size, in parts and wide ones too, and gives every linked pair."""
+    rnd = random.Random(6)
+    base = [[rnd.choice(_VOCAB) + str(rnd.randrange(1000)) for _ in range(200)] for _ in range(3)]
+    lines = [" ".join(w if j % step != k else "other" for j, w in enumerate(b)) for b in base for step, k in ((60, 0), (60, 1), (5, 0))]
+    corpus = util.materialize(spark.createDataFrame([("\n".join(lines),)], "text string"))
+    number = {r.id: r.line_no for r in line_dedup._lines(corpus).select("id", "line_no").collect()}
+    signed = util.materialize(line_dedup._signatures(line_dedup._lines(corpus)))
+    alone = spark.createDataFrame([], "id long, component long")
+    linked = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if _jaccard_lines(lines[a], lines[b]) >= 0.8}
+    for rows, long in ((1 << 20, 4096), (4, 1000)):
+        monkeypatch.setattr(line_dedup, "ROWS", rows)
+        monkeypatch.setattr(line_dedup, "LONG", long)
+        found = line_dedup._across(line_dedup._bands(signed).select("band", "id"), alone, signed, corpus, 0.8).collect()
+        assert len(linked) == 3 and {tuple(sorted((number[r.a], number[r.b]))) for r in found} == linked
+
+
+def test_line_dedup_bands_are_compiled(spark):
+    """No generated method of a slice of the bands is over 8,000 bytes, beyond which the JVM interprets it; the slices are all bands."""
+    lines = util.materialize(line_dedup._signatures(line_dedup._lines(spark.createDataFrame([(0, "a line of some words")], "doc_id long, text string"))))
+    assert [k for some in line_dedup.SLICES for k in some] == list(range(line_dedup.BANDS))
+    whole = {tuple(r) for r in line_dedup._bands(lines).collect()}
+    assert {tuple(r) for some in line_dedup.SLICES for r in line_dedup._bands(lines, some).collect()} == whole and len(whole) == 20
+    # the adaptive plan shows no code before it runs
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [line_dedup._bands(lines, some).groupBy("band").agg(F.min("id"), F.max("id"), F.count("*"))._jdf.queryExecution() for some in line_dedup.SLICES]
+        made = [plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")) for plan in plans]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for code in made:
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert sizes and max(sizes) < 8000
+
+
 def test_line_dedup_close_lines_make_no_square(spark, monkeypatch):
     """Lines of one group that are close and not linked: what is verified grows with the lines, not with their square."""
     rnd = random.Random(8)
