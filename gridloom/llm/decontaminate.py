@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.util import materialize, release, scratch, small
+from gridloom.llm.util import BROADCAST_BYTES, materialize, release, scratch, small
 
 SHINGLE = 5
 #: Bits by which two fingerprints may differ; three standard deviations beyond what a similarity of 0.8 makes likely.
@@ -69,6 +69,18 @@ def multi_index(fingerprints: DataFrame, value: str, exact: bool) -> DataFrame:
     return fingerprints.withColumn("part", F.explode(F.expr(f"concat({', '.join(parts)})")))
 
 
+def meet(printed: DataFrame, prints: DataFrame) -> DataFrame:
+    """(doc_id, size, start, item_id): fingerprints of windows with those of items of one size within RADIUS bits.
+
+    An item has about 1,800 entries, which Spark's own estimate does not know of: they are counted, and are broadcast only if they fit.
+    """
+    index = multi_index(prints.select("item_id", "size", "item_print"), "item_print", exact=False)
+    rows = prints.count() * sum(len(_masks(bits, RADIUS // len(PARTS))) for bits in PARTS)
+    index = small(index, rows, 40) if rows * 40 <= BROADCAST_BYTES else index.hint("merge")
+    near = multi_index(printed, "print", exact=True).join(index, ["size", "part"]).where(f"bit_count(print ^ item_print) <= {RADIUS}")
+    return near.select("doc_id", "size", "start", "item_id").distinct()
+
+
 def _shared(a: str, b: str) -> str:
     """Sum of the smaller counts of the hashes in two arrays."""
     return f"aggregate(array_distinct({a}), 0, (s, h) -> s + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))"
@@ -124,10 +136,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     cut = materialize(every.where("size(window) > 0"), "cut")
     printed = materialize(cut.select("doc_id", "size", "start", F.expr(_simhash("window")).alias("print")), "printed")
     prints = materialize(formed.withColumn("item_print", F.expr(_simhash("hashes"))), "prints")
-    index = multi_index(prints.select("item_id", "size", "item_print"), "item_print", exact=False)
-    entered = multi_index(printed, "print", exact=True)
-    near = entered.join(index, ["size", "part"]).where(f"bit_count(print ^ item_print) <= {RADIUS}")
-    once = near.select("doc_id", "size", "start", "item_id").distinct()
+    once = meet(printed, prints)
     whole = once.join(cut, ["doc_id", "size", "start"]).join(prints.select("item_id", "hashes"), "item_id")
     both = whole.select("doc_id", "item_id", "start", F.expr("size(window) + size(hashes)").alias("sizes"), F.expr(_shared("window", "hashes")).alias("both"))
     alike = materialize(both, "verified").withColumn("similarity", F.expr("both / (sizes - both)")).where(F.col("similarity") >= least)

@@ -529,6 +529,17 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(none, bench).count() == 0
 
 
+def test_leaks_index_is_broadcast_only_if_it_fits(spark):
+    """The entries of many items are not sent to the driver and to all executors: only few are broadcast; both ways find the same."""
+    prints = util.materialize(spark.range(1000).selectExpr("id as item_id", "20 as size", "xxhash64(id) as item_print"))
+    printed = util.materialize(prints.selectExpr("item_id as doc_id", "size", "1 as start", "item_print ^ 2049 as print"))
+    for items in (prints, prints.where("item_id < 50")):
+        found = decontaminate.meet(printed, items)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastExchange" in plan) == (items is not prints)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} >= {(i, i) for i in range(1000 if items is prints else 50)}
+
+
 @pytest.mark.parametrize("n", [44, 60, 100])
 def test_leaks_reordered(spark, n):
     """An item whose halves are swapped is found."""
