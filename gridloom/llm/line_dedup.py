@@ -167,8 +167,9 @@ def _neighbours(members: DataFrame, found: DataFrame, lines: DataFrame) -> DataF
     placed = members.join(small(found, found.count(), 24), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    signed = lines.select("id", F.struct(*SIGNATURE).alias("of"), F.expr(f"array({', '.join(map(_lane, range(MINIMA)))})").alias("lanes"))
-    left = materialize(placed.join(mixed, "band", "left_semi").join(signed, "id").withColumn("near", F.expr(_near())).drop("k", "lanes"), "left")
+    signed = placed.join(mixed, "band", "left_semi").join(lines.select("id", *SIGNATURE), "id")
+    lanes = signed.withColumns({"of": F.struct(*SIGNATURE), "lanes": F.expr(f"array({', '.join(map(_lane, range(MINIMA)))})")})
+    left = materialize(lanes.withColumn("near", F.expr(_near())).drop("k", "lanes", *SIGNATURE), "left")
     ranged = materialize(left.repartitionByRange("band", "near", "id").withColumn("run", F.spark_partition_id()), "ranged")
     before = Window.partitionBy("band", "run").orderBy("near", "id").rowsBetween(-NEAR, -1)
     met = ranged.withColumn("before", F.collect_list(F.struct("id", "component", "of")).over(before))
