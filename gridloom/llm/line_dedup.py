@@ -34,8 +34,12 @@ from gridloom.llm.util import drop, free_name, materialize, numbered, release, s
 MINIMA, BANDS = 24, 20
 #: Distances of a band's minima from its number, modulo MINIMA; all differences differ.
 STEPS = (0, 1, 4, 9, 11)
+#: Characters of white space, of which a line may consist.
+BLANKS = " \\t\\n\\u000B\\u000C\\r"
 #: Characters of a shingle.
 GRAM = 5
+#: 5-grams of a line that are hashed in one row.
+RUN = 12
 #: Minima in which a pair with a central line must agree, and those in which neighbours must; pairs of similarity 0.8 do
 #: with chances of 0.996 and 0.91, and a line mostly has several neighbours that it is linked with.
 AGREE, CLOSE = 14, 17
@@ -58,7 +62,7 @@ ROWS = 1 << 20
 
 def _lines(docs: DataFrame, *keys: str) -> DataFrame:
     """keys, line_no, line, id, twin of lines that are not blank; docs has keys and text."""
-    rows = docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line rlike '\\\\S'")
+    rows = docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.expr(f"ltrim('{BLANKS}', line) <> ''"))
     return rows.withColumns({"id": F.xxhash64("line"), "twin": F.xxhash64(F.lit(1), "line")})
 
 
@@ -100,10 +104,14 @@ def _lane(i: int) -> str:
 def _signatures(lines: DataFrame) -> DataFrame:
     """(id, signature, sketch): distinct lines with the low 16 bits, the most varied ones, of their minima, and their sketches."""
     coded = lines.select("id", F.expr(_encoded("line")).alias("code")).withColumn("grams", F.expr(f"greatest(1, octet_length(code) div 4 - {GRAM - 1})"))
-    hashes = coded.select("id", "code", "grams", F.explode(F.expr(_OFFSETS.format("code"))).alias("i")).select("id", "grams", F.expr(_HASH.format("code")).alias("h"))
-    halves = hashes.select("id", "grams", "h", F.expr("cast(shiftright(h, 32) as int)").alias("top"), F.expr("cast(shiftright(shiftleft(h, 32), 32) as int)").alias("low"))
-    words = (f"bit_or(if((shiftright(h, 6) & {WORDS - 1}) = {j}, shiftleft(1L, cast(h & 63 as int)), 0L))" for j in range(WORDS))
-    minima = halves.groupBy("id").agg(*(F.min(F.expr(key)).alias(f"m{i}") for i, key in enumerate(_minima())), F.max("grams").alias("grams"), *(F.expr(e).alias(f"w{j}") for j, e in enumerate(words)))
+    runs = coded.select("id", "code", "grams", F.explode(F.expr(f"sequence(0, grams - 1, {RUN})")).alias("at"))
+    # beyond its end a line's last run takes its first 5-gram again, which changes neither minima nor bits
+    hashes = runs.select("id", "grams", *(F.expr(_HASH.format("code").replace("i,", f"1 + 4 * if(at + {j} < grams, at + {j}, at),")).alias(f"h{j}") for j in range(RUN)))
+    parts = {"top": "cast(shiftright({}, 32) as int)", "low": "cast(shiftright(shiftleft({}, 32), 32) as int)", "word": f"cast(shiftright({{}}, 6) & {WORDS - 1} as int)", "bit": "shiftleft(1L, cast({} & 63 as int))"}
+    halves = hashes.select("id", "grams", *(F.expr(e.format(f"h{j}")).alias(f"{name}{j}") for name, e in parts.items() for j in range(RUN)))
+    least = (f"least({', '.join(key.replace('top', f'top{j}').replace('low', f'low{j}') for j in range(RUN))})" for key in _minima())
+    words = (" | ".join(f"if(word{i} = {j}, bit{i}, 0L)" for i in range(RUN)) for j in range(WORDS))
+    minima = halves.groupBy("id").agg(*(F.min(F.expr(key)).alias(f"m{i}") for i, key in enumerate(least)), F.max("grams").alias("grams"), *(F.bit_or(F.expr(e)).alias(f"w{j}") for j, e in enumerate(words)))
     packed = [" | ".join(f"shiftleft(cast(m{4 * k + i} & 65535 as bigint), {16 * i})" for i in range(4)) for k in range(len(SIGNATURE))]
     return minima.select("id", *(F.expr(e).alias(s) for s, e in zip(SIGNATURE, packed, strict=True)), *SKETCH)
 
@@ -114,6 +122,16 @@ def _bands(lines: DataFrame, some: range = range(BANDS)) -> DataFrame:
     return lines.select(F.posexplode(F.expr(f"array({', '.join(bands)})")).alias("k", "band"), "id").withColumn("k", F.col("k") + some.start)
 
 
+def _grouped(bands: DataFrame) -> DataFrame:
+    """bands of the lines that are not alone in a band, with n, how many these are, and high: of two the larger id, else null.
+
+    The bands, by far the most rows of all, are moved once, and a line that is alone is gone before anything is written.
+    """
+    group = Window.partitionBy("band")
+    counted = bands.withColumns({"n": F.count("*").over(group), "high": F.max("id").over(group)}).where("n > 1")
+    return counted.select("band", "k", "id", "n", F.when(F.col("n") == 2, F.col("high")).alias("high"))
+
+
 def _near() -> str:
     """Eight minima outside band k, as two numbers to sort by; lanes holds those of a signature."""
     others = [d for d in range(MINIMA) if d not in STEPS]
@@ -170,7 +188,9 @@ def _neighbours(members: DataFrame, found: DataFrame, lines: DataFrame) -> DataF
     signed = placed.join(mixed, "band", "left_semi").join(lines.select("id", *SIGNATURE), "id")
     lanes = signed.withColumns({"of": F.struct(*SIGNATURE), "lanes": F.expr(f"array({', '.join(map(_lane, range(MINIMA)))})")})
     left = materialize(lanes.withColumn("near", F.expr(_near())).drop("k", "lanes", *SIGNATURE), "left")
+    drop(placed)
     ranged = materialize(left.repartitionByRange("band", "near", "id").withColumn("run", F.spark_partition_id()), "ranged")
+    drop(left)
     before = Window.partitionBy("band", "run").orderBy("near", "id").rowsBetween(-NEAR, -1)
     met = ranged.withColumn("before", F.collect_list(F.struct("id", "component", "of")).over(before))
     agreeing = f"transform(filter(before, other -> other.component <> component), other -> struct({_agreeing('of', 'other.of')} as n, other.id as id))"
@@ -258,30 +278,25 @@ def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     release(spark)
     with scratch() as keep:
         lines = materialize(_signatures(_lines(docs)), "lines")
-        found_groups, found_members = [], []
-        for some in SLICES:
-            found_groups.append(materialize(_bands(lines, some).groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1"), "groups"))
-            larger = found_groups[-1].where("n > 2").select("band", "n")
-            found_members.append(materialize(_bands(lines, some).join(small(larger, larger.count(), 24), "band").select("band", "k", "id"), "members"))
-        groups, members = stacked(found_groups), stacked(found_members)
+        grouped = stacked([materialize(_grouped(_bands(lines, some)), "members") for some in SLICES])
+        members = grouped.where("high is null").drop("high")
         release(spark)
         with scratch() as keep_here:
-            company = members.join(groups.select("band", "n"), "band").groupBy("id").agg(F.sum("n").alias("company"))
+            company = members.groupBy("id").agg(F.sum("n").alias("company"))
             central = members.join(company, "id").groupBy("band").agg(F.max_by("id", "company").alias("lead"))
             stars = members.join(central, "band").where("id <> lead").select(*_ordered("id", "lead"))
-            pairs = groups.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+            pairs = grouped.where("id < high").select(F.col("id").alias("a"), F.col("high").alias("b"))
             checked = keep_here(_verified(_promising(stars.union(pairs).distinct(), lines, least), docs, least), "checked")
         found = components(checked.where("linked").select("a", "b"))
         release(spark)
         with scratch() as keep_here:
-            rest = _neighbours(members, found, lines).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            rest = _neighbours(members.drop("n"), found, lines).join(checked.select("a", "b"), ["a", "b"], "left_anti")
             more = keep_here(_verified(rest, docs, least).where("linked").select("a", "b"), "more")
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
         release(spark)
         # what is not linked by now: every pair that shares a band
-        alone = groups.where("n = 2").select("band", F.explode(F.array("low", "high")).alias("id"))
         with scratch() as keep_here:
-            rest = _across(members.select("band", "id").union(alone), found, lines, docs, least)
+            rest = _across(grouped.select("band", "id"), found, lines, docs, least)
             last = keep_here(_verified(rest, docs, least).where("linked").select("a", "b"), "last")
         return keep(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last)), "line-groups")
 

@@ -328,6 +328,49 @@ def test_line_dedup_complete_round_in_parts(spark, monkeypatch):
         assert len(linked) == 3 and {tuple(sorted((number[r.a], number[r.b]))) for r in found} == linked
 
 
+def test_line_dedup_signatures_by_runs(spark, monkeypatch):
+    """Runs of 5-grams give the minima and bits of each single 5-gram, whatever is left over, in compiled code."""
+    rnd = random.Random(8)
+    lines = [("\U0001F600é x"[:n] or "y") + " ".join(rnd.choice(_VOCAB) for _ in range(n % 7))[:n] for n in range(60)] + ["ab" * 500]
+    corpus = spark.createDataFrame([("\n".join(lines),)], "text string")
+    code, want = line_dedup._encoded("line"), set()
+    for r in line_dedup._lines(corpus).select("id", F.length("line").alias("n"), F.expr(line_dedup._gram_set(code)).alias("grams")).collect():
+        halves = [{"top": h >> 32, "low": (h & 0xFFFFFFFF) - ((h & 0x80000000) << 1)} for h in r.grams]
+        minima = [min(h[half] ^ int(seed) for h in halves) & 65535 for half, seed in (key.split(" ^ ") for key in line_dedup._minima())]
+        words = [0] * line_dedup.WORDS
+        for h in r.grams:
+            words[(h >> 6) % line_dedup.WORDS] |= 1 << (h & 63)
+        packed = [sum(m << 16 * i for i, m in enumerate(minima[k : k + 4])) for k in range(0, line_dedup.MINIMA, 4)]
+        want.add((r.id, *(x - (x >> 63 << 64) for x in packed), max(1, r.n - 4), *(x - (x >> 63 << 64) for x in words)))
+    for run in (2, 5, line_dedup.RUN):
+        monkeypatch.setattr(line_dedup, "RUN", run)
+        assert {tuple(r) for r in line_dedup._signatures(line_dedup._lines(corpus)).collect()} == want
+    assert len(want) == len(set(lines)) and line_dedup.RUN > 5
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = line_dedup._signatures(line_dedup._lines(corpus))._jdf.queryExecution()
+        code = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) <= 8000
+
+
+def test_line_dedup_bands_move_once(spark):
+    """The lines that share a band are found with one shuffle of the bands, none after it; those alone in a band are not among them."""
+    rnd = random.Random(9)
+    base = _prose(40, rnd).split()
+    lines = [" ".join(w if j not in (k, k + 20) else f"v{k}" for j, w in enumerate(base)) for k in range(8)] + [_prose(40, rnd) for _ in range(20)]
+    signed = util.materialize(line_dedup._signatures(line_dedup._lines(spark.createDataFrame([("\n".join(lines),)], "text string"))))
+    bands = collections.defaultdict(list)
+    for r in line_dedup._bands(signed).collect():
+        bands[r.band, r.k].append(r.id)
+    want = {(b, k, i, len(ids), max(ids) if len(ids) == 2 else None) for (b, k), ids in bands.items() if len(ids) > 1 for i in ids}
+    grouped = line_dedup._grouped(line_dedup._bands(signed))
+    assert {tuple(r) for r in grouped.collect()} == want and {n for _, _, _, n, _ in want} >= {2, 3}
+    assert grouped._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert grouped._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_line_dedup_bands_are_compiled(spark):
     """No generated method of a slice of the bands is over 8,000 bytes, beyond which the JVM interprets it; the slices are all bands."""
     lines = util.materialize(line_dedup._signatures(line_dedup._lines(spark.createDataFrame([(0, "a line of some words")], "doc_id long, text string"))))
