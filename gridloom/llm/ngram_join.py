@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
 from gridloom.llm.textops import shingle_set, words
-from gridloom.llm.util import materialize, release, scratch, ship_package, small
+from gridloom.llm.util import materialize, release, scratch, ship_package, small, small_batches
 
 _BLOCK = 1 << 13
 #: Documents of one set from which their group is joined by a broadcast of its representative.
@@ -73,7 +73,9 @@ def ngram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """Counters of all n-grams of all documents, by the first bits of their hash; 8 << bits bytes whatever the input."""
     parts = docs.mapInPandas(_count(n, bits), "block int, counts binary")
     table = np.zeros((max(1, (1 << bits) // _BLOCK), min(_BLOCK, 1 << bits)), np.int64)
-    for row in parts.repartition(len(table), "block").mapInPandas(_sum, "block int, counts binary").collect():
+    with small_batches(docs.sparkSession):
+        summed = parts.repartition(len(table), "block").mapInPandas(_sum, "block int, counts binary").collect()
+    for row in summed:
         table[row["block"]] += np.frombuffer(row["counts"], np.int64)
     return table.reshape(-1)
 
@@ -147,9 +149,11 @@ def _checked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     """(a, b, linked) for each pair, from the whole texts."""
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    blobs = materialize(docs.join(small(ids, ids.count(), 16), "doc_id", "left_semi").mapInPandas(_blobs, "id long, blob binary"), "blobs")
+    with small_batches(docs.sparkSession):
+        blobs = materialize(docs.join(small(ids, ids.count(), 16), "doc_id", "left_semi").mapInPandas(_blobs, "id long, blob binary"), "blobs")
     sides = pairs.join(blobs.select(F.col("id").alias("a"), F.col("blob").alias("blob_a")), "a").join(blobs.select(F.col("id").alias("b"), F.col("blob").alias("blob_b")), "b")
-    return materialize(sides.select("a", "b", "blob_a", "blob_b").mapInPandas(_verify(n, percent), "a long, b long, linked boolean"), "checked")
+    with small_batches(docs.sparkSession):
+        return materialize(sides.select("a", "b", "blob_a", "blob_b").mapInPandas(_verify(n, percent), "a long, b long, linked boolean"), "checked")
 
 
 def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int = 20) -> DataFrame:
@@ -159,7 +163,8 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int
     release(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     ranks = spark.sparkContext.broadcast(ngram_counts(docs, n, sketch_bits))
-    sets = materialize(docs.mapInPandas(_prefixes(n, percent, sketch_bits, ranks), "doc_id long, n long, hi long, lo long, prefix array<long>, hist array<int>"), "sets")
+    with small_batches(spark):
+        sets = materialize(docs.mapInPandas(_prefixes(n, percent, sketch_bits, ranks), "doc_id long, n long, hi long, lo long, prefix array<long>, hist array<int>"), "sets")
     reps = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     unique = sets.join(reps.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").withColumnRenamed("doc_id", "rep")
     hists = unique.select("rep", "hist")

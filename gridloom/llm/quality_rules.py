@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textops import window_hashes, word_hashes
-from gridloom.llm.util import materialize, ship_package, small
+from gridloom.llm.util import materialize, ship_package, small, small_batches
 
 #: Features that the rules may test, as ratios of the statistics.
 FEATURES = {
@@ -172,7 +172,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -
 
     The list is learned from per_class labelled rows of each kind at most, in hash order.
     """
-    counts = materialize(statistics(docs), "statistics")
+    with small_batches(docs.sparkSession):
+        counts = materialize(statistics(docs), "statistics")
     stats = counts.select("*", *(F.expr(f"double({e})").alias(f) for f, e in FEATURES.items()))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]

@@ -7,7 +7,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: The setting by which Spark deletes a statement's shuffle files at its end, not when the driver happens to collect garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The setting by which Spark bounds what it hands to a Python worker at a time by bytes, besides by rows (10,000), and the bound.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: open: the tables written in each open `scratch` of a thread, the innermost last.
 _SCRATCH = threading.local()
 
@@ -41,16 +43,31 @@ def shared_dir(spark: SparkSession) -> str:
     return told
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A block in which the session's setting has that value."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """A block in which jobs hand BATCH_BYTES of rows to a Python worker at a time, or one longer row.
+
+    10,000 texts at a time are tens of MB, which the JVM holds outside its heap and the worker holds several times over.
+    """
+    return _setting(spark, BATCH, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with _setting(spark, CLEAN_UP, "true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -685,3 +685,30 @@ def test_pipeline_lines_whatever_the_caps(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     assert _jaccard_lines(*texts[:2]) > 0.8 and _jaccard_lines(texts[0], texts[2]) > 0.8
     assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, docs, "").collect()) == [0, 3]
+
+
+def test_python_workers_get_texts_by_bytes(spark, monkeypatch):
+    def held(real, *columns):
+        def run(batches):
+            def watched():
+                for batch in batches:
+                    got = sum(batch[c].str.len().sum() for c in columns)
+                    assert len(batch) == 1 or got <= 8 << 20, got
+                    yield batch
+
+            return real(watched())
+
+        return run
+
+    for module, name, *columns in ((quality_rules, "_measure", "text"), (ngram_join, "_blobs", "text")):
+        monkeypatch.setattr(module, name, held(getattr(module, name), *columns))
+    for name, *columns in (("_count", "text"), ("_prefixes", "text"), ("_verify", "blob_a", "blob_b")):
+        monkeypatch.setattr(ngram_join, name, lambda *a, make=getattr(ngram_join, name), columns=columns: held(make(*a), *columns))
+    rnd = random.Random(3)
+    texts = [_prose(90_000, rnd) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t + " end" * (i % 2)) for i, t in enumerate(2 * texts)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert quality_rules.quality_rules(docs, labels).count() == 40
+    assert [r.component_id for r in ngram_join.ngram_join(docs).orderBy("doc_id").collect()] == [*range(20), *range(20)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
