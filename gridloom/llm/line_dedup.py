@@ -25,6 +25,8 @@ that they share stays in the first of them. Unequal lines with equal first hashe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ WORDS = 8
 #: Bands that are worked on at a time: a quarter of them lies on disk at once, and generated code stays under the 8,000 bytes
 #: of a method that the JVM compiles (all in one were more, and ran interpreted).
 SLICES = tuple(range(k, k + 5) for k in range(0, BANDS, 5))
+#: Parts in which lines get signatures, by their hash: their rows with whole minima are what a run moves most of at once.
+HALVES = 2
 #: Columns that hold 16 bits of four minima each.
 SIGNATURE = tuple(f"s{i}" for i in range(MINIMA // 4))
 #: Columns of a sketch: how many 5-grams a line has, repeats too, and a bit for the hash of each.
@@ -231,27 +235,37 @@ def _matching(x: str, y: str, least: float) -> str:
     return f"abs({x}.size - {y}.size) * {1 + least}D <= {allowed} and ({apart}) * {1 + least}D <= {allowed} and ({x}.wide is null or {y}.wide is null or {wide} * {1 + least}D <= {allowed})"
 
 
-def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components, with in_main, whether a line is in the group's largest one.
+
+    Rows are moved once, by band, and those of groups that are one component go before anything else is done.
+    """
+    group, share = Window.partitionBy("band"), Window.partitionBy("band", "component")
+    mixed = placed.withColumns({"x": F.min("component").over(group), "y": F.max("component").over(group)}).where("x < y").drop("x", "y")
+    counted = mixed.withColumn("n", F.count("*").over(share)).withColumn("main", F.max(F.struct("n", "component")).over(group))
+    return counted.select("band", "id", "component", (F.col("component") == F.col("main.component")).alias("in_main"))
+
+
+def _across(members: DataFrame, found: DataFrame, lines: DataFrame, docs: DataFrame, least: float, spent: Sequence[DataFrame] = ()) -> DataFrame:
     """(a, b): all lines of different components that share a band, but for those whose sets show that they are not linked.
 
-    members has all groups. A group's largest component meets the others only, so a group that is one component but for
+    members has all groups; it and lines are read before any pairs are looked for, and spent, the tables that they lie in, go then. A group's largest component meets the others only, so a group that is one component but for
     a few lines costs as many comparisons as these lines times the group. A pair counts in the least of the bands that it
     shares, and only there its lines get odd sketches, if the plain ones allow that it is linked; pairs become rows only
     if these allow it too, so close pairs that are not linked make none. Where many lines are left, bands are taken in parts.
     """
     placed = members.join(small(found, found.count(), 24), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialize(placed, "all-placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    left = materialize(placed.join(mixed, "band", "left_semi"), "open")
-    drop(placed)
-    mains = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    left = materialize(_open(placed), "open")
     # lines of different components that share a band share it here, so these are all that can be the least
-    own = materialize(left.groupBy("id").agg(F.collect_list("band").alias("bands")), "open-ids")
-    signed = lines.select("id", F.struct(*SKETCH).alias("sketch")).join(small(own, own.count(), 32 + 8 * BANDS), "id")
-    ready = left.join(mains, "band").join(signed, "id").withColumn("bands", F.expr("filter(bands, b -> b < band)"))
-    ready = materialize(ready.select("band", "id", "component", (F.col("component") == F.col("main")).alias("in_main"), "sketch", "bands"), "open-lines")
+    own = materialize(left.groupBy("id", "component").agg(F.collect_list(F.struct("band", "in_main")).alias("places")), "open-ids")
     drop(left)
-    drop(own)
+    n = own.count()
+    signed = lines.join(small(own.select("id"), n, 16), "id", "left_semi").select("id", F.struct(*SKETCH).alias("sketch"))
+    ready = signed.join(small(own, n, 48 + 32 * BANDS), "id").withColumn("place", F.explode("places"))
+    ready = ready.select("place.band", "id", "component", "place.in_main", "sketch", F.expr("transform(filter(places, p -> p.band < place.band), p -> p.band)").alias("bands"))
+    ready = materialize(ready, "open-lines")
+    for table in (own, *spent):
+        drop(table)
     apart, first = "x.band = y.band and x.component <> y.component", "not arrays_overlap(x.bands, y.bands)"
     met = F.expr(f"{apart} and {_alike('x.sketch', 'y.sketch', least)} and {first}")
     outside = materialize(ready.where("not in_main").alias("x").join(ready.alias("y"), met, "left_semi"), "outside")
@@ -277,9 +291,14 @@ def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     spark = docs.sparkSession
     release(spark)
     with scratch() as keep:
-        lines = materialize(_signatures(_lines(docs)), "lines")
-        grouped = stacked([materialize(_grouped(_bands(lines, some)), "members") for some in SLICES])
+        alone = [materialize(_signatures(_lines(docs).where(f"pmod(id, {HALVES}) = {i}")), "lines") for i in range(HALVES)]
+        slices = [materialize(_grouped(_bands(stacked(alone), some)), "members") for some in SLICES]
+        grouped = stacked(slices)
         members = grouped.where("high is null").drop("high")
+        # of lines that are alone in all their bands nothing more is asked
+        lines = materialize(_only(stacked(alone), grouped.select("id")), "banded")
+        for table in alone:
+            drop(table)
         release(spark)
         with scratch() as keep_here:
             company = members.groupBy("id").agg(F.sum("n").alias("company"))
@@ -296,7 +315,7 @@ def line_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
         release(spark)
         # what is not linked by now: every pair that shares a band
         with scratch() as keep_here:
-            rest = _across(grouped.select("band", "id"), found, lines, docs, least)
+            rest = _across(grouped.select("band", "id"), found, lines, docs, least, spent=(lines, *slices))
             last = keep_here(_verified(rest, docs, least).where("linked").select("a", "b"), "last")
         return keep(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last)), "line-groups")
 

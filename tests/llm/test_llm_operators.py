@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -389,6 +390,37 @@ def test_line_dedup_bands_are_compiled(spark):
         assert sizes and max(sizes) < 8000
 
 
+def test_line_dedup_tables_hold_what_is_asked(spark, monkeypatch):
+    """Lines that are alone in all bands keep no signature, and signatures and bands are gone when pairs are looked for."""
+    rows, seen, there = {}, {}, lambda name: sorted(n for n, path in seen.items() if n.startswith(name) and os.path.exists(path))
+    before = []
+    real = line_dedup.materialize
+
+    def noted(df, name="table"):
+        if name == "outside":
+            before.extend(n for kind in ("lines", "banded", "members") for n in there(kind))
+        out = real(df, name)
+        seen[f"{name}-{len(seen)}"] = re.sub("^file:", "", out._table_path)
+        rows[name] = rows.get(name, 0) + out.count() if name == "lines" else out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    rnd = random.Random(8)
+    line = _prose(16, rnd)
+    texts = [line, line + " more", *(_prose(16, rnd) for _ in range(30))]
+    got = line_dedup.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed > 0")
+    assert [r.doc_id for r in got.collect()] == [1]
+    assert rows["lines"] == 32 and 2 <= rows["banded"] < 10
+    assert any(n.startswith("members") for n in seen) and "outside" in rows and before == []
+
+
+def test_line_dedup_open_groups_move_once(spark):
+    rows = [(b, 10 * b + i, c) for b, parts in enumerate(([1, 1, 1], [1, 2, 2], [3, 3, 4, 4], [5])) for i, c in enumerate(parts)]
+    got = line_dedup._open(spark.createDataFrame(rows, "band long, id long, component long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((b, i, c, c == {1: 2, 2: 4}[b]) for b, i, c in rows if b in (1, 2))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") in (1, 2)  # the final plan of an adaptive one names it again
+
+
 def test_line_dedup_close_lines_make_no_square(spark, monkeypatch):
     """Lines of one group that are close and not linked: what is verified grows with the lines, not with their square."""
     rnd = random.Random(8)
